@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm._common import read_table
+from palimpsest.llm.decontaminate import ORACLE_SQL as LEAKS_SQL
+from palimpsest.llm.decontaminate import find_leaks
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.secret_scan import scan_secrets
 from palimpsest.llm.sharding import shard_documents
@@ -30,6 +32,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), 40)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return find_leaks(docs, bench).drop("hit_words")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -43,9 +50,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash_dedup, op2_sharding, op5_token_counts, op9_secret_scan, op10_packing)
+    found = (op1_simhash_dedup, op2_sharding, op3_decontamination, op5_token_counts, op9_secret_scan, op10_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": LEAKS_SQL}
