@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm._common import read_table
 from palimpsest.llm.decontaminate import ORACLE_SQL as LEAKS_SQL
 from palimpsest.llm.decontaminate import find_leaks
+from palimpsest.llm.embedding_dedup import embedding_groups
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.secret_scan import scan_secrets
 from palimpsest.llm.sharding import shard_documents
@@ -41,6 +42,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -50,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash_dedup, op2_sharding, op3_decontamination, op5_token_counts, op9_secret_scan, op10_packing)
+    found = (op1_simhash_dedup, op2_sharding, op3_decontamination, op5_token_counts, op6_embedding_dedup, op9_secret_scan, op10_packing)
     return {f.__name__: f for f in found}
 
 
