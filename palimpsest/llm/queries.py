@@ -11,6 +11,7 @@ from palimpsest.llm.decontaminate import ORACLE_SQL as LEAKS_SQL
 from palimpsest.llm.decontaminate import find_leaks
 from palimpsest.llm.embedding_dedup import embedding_groups
 from palimpsest.llm.packing import pack_documents
+from palimpsest.llm.quality import classify_quality
 from palimpsest.llm.secret_scan import scan_secrets
 from palimpsest.llm.sharding import shard_documents
 from palimpsest.llm.simhash import simhash_groups
@@ -46,6 +47,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read_table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -55,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash_dedup, op2_sharding, op3_decontamination, op5_token_counts, op6_embedding_dedup, op9_secret_scan, op10_packing)
+    found = (op1_simhash_dedup, op2_sharding, op3_decontamination, op5_token_counts, op6_embedding_dedup, op8_quality, op9_secret_scan, op10_packing)
     return {f.__name__: f for f in found}
 
 
