@@ -16,6 +16,7 @@ from palimpsest.llm.secret_scan import scan_secrets
 from palimpsest.llm.sharding import shard_documents
 from palimpsest.llm.simhash import simhash_groups
 from palimpsest.llm.token_counts import count_tokens
+from palimpsest.llm.toxicity import classify_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(docs, bench).drop("hit_words")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -60,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash_dedup, op2_sharding, op3_decontamination, op5_token_counts, op6_embedding_dedup, op8_quality, op9_secret_scan, op10_packing)
+    found = (op1_simhash_dedup, op2_sharding, op3_decontamination, op4_toxicity, op5_token_counts, op6_embedding_dedup, op8_quality, op9_secret_scan, op10_packing)
     return {f.__name__: f for f in found}
 
 
