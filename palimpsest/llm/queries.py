@@ -10,6 +10,7 @@ from palimpsest.llm._common import read_table
 from palimpsest.llm.decontaminate import ORACLE_SQL as LEAKS_SQL
 from palimpsest.llm.decontaminate import find_leaks
 from palimpsest.llm.embedding_dedup import embedding_groups
+from palimpsest.llm.html_extract import extract_pages
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.quality import classify_quality
 from palimpsest.llm.secret_scan import scan_secrets
@@ -52,6 +53,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read_table(spark, sf_dir, "embeddings"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -65,7 +70,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash_dedup, op2_sharding, op3_decontamination, op4_toxicity, op5_token_counts, op6_embedding_dedup, op8_quality, op9_secret_scan, op10_packing)
+    found = (
+        op1_simhash_dedup, op2_sharding, op3_decontamination, op4_toxicity, op5_token_counts,
+        op6_embedding_dedup, op7_html_extraction, op8_quality, op9_secret_scan, op10_packing,
+    )
     return {f.__name__: f for f in found}
 
 
