@@ -53,7 +53,7 @@ def slices_by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[
     """Cut an Arrow batch into runs of rows of about ``limit`` text bytes each."""
     if not batch.num_rows:
         return
-    lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     start, held = 0, 0
     for row, length in enumerate(lengths):
         if row > start and held + length > limit:

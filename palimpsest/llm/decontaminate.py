@@ -46,6 +46,40 @@ def benchmark_windows(bench: DataFrame, size: int, id_col: str, text_col: str) -
     return keyed.withColumn("_hashes", F.expr("transform(split(_key, ' '), w -> xxhash64(w))"))
 
 
+def candidates_of(grams: DataFrame, small: bool, named: str) -> tuple[Column, list[int]]:
+    """Windows of ``_words`` that may be the benchmark's, as structs of place, length and words.
+
+    If ``small``, those whose hash is in the set; else all. ``named`` is the
+    prefix of the columns with the words, their hashes and their number.
+    """
+    words, hashes, count = f"`{named}words`", f"`{named}hashes`", f"`{named}n`"
+    lengths = sorted(r[0] for r in grams.select("_length").distinct().collect())  # at most as many as a window has words
+    found = []
+    for length in lengths:
+        places = f"sequence(0, {count} - {length})"
+        if small:
+            own = grams.where(F.col("_length") == length).select(F.expr(_hash("_hashes", "0", length))).distinct()
+            known = ", ".join(f"{r[0]}L" if r[0] > -(1 << 63) else "(-9223372036854775807L - 1L)" for r in own.collect())
+            places = f"filter({places}, i -> {_hash(hashes, 'i', length)} in ({known}))"
+        window = f"named_struct('at', i, 'n', {length}, 'key', array_join(slice({words}, i + 1, {length}), ' '))"
+        found.append(f"if({count} >= {length}, transform({places}, i -> {window}), array())")
+    none = "filter(array(cast(null as struct<at:int,n:int,key:string>)), x -> false)"
+    return F.expr(f"concat({', '.join(found)})" if found else none), lengths
+
+
+def with_words(docs: DataFrame, text: Column, named: str) -> DataFrame:
+    """Add the words, their hashes and their number, in columns that begin with ``named``."""
+    return (
+        docs.withColumn(f"{named}words", words_of(text))
+        .withColumn(f"{named}hashes", F.expr(f"transform(`{named}words`, w -> xxhash64(w))"))
+        .withColumn(f"{named}n", F.size(f"{named}words"))
+    )
+
+
+def is_small(grams: DataFrame, most_windows: int) -> bool:
+    return grams.limit(most_windows + 1).count() <= most_windows
+
+
 def find_leaks(
     docs: DataFrame,
     bench: DataFrame,
@@ -66,27 +100,10 @@ def find_leaks(
     read.
     """
     grams = benchmark_windows(bench, size, item_col, item_text_col)
-    lengths = sorted(r[0] for r in grams.select("_length").distinct().collect())  # at most ``size`` of them
-    small = grams.limit(most_windows + 1).count() <= most_windows
-    base = (
-        docs.select(
-            F.col(id_col).alias("_id"),
-            F.monotonically_increasing_id().alias("_row"),
-            words_of(F.col(text_col)).alias("_words"),
-        )
-        .withColumn("_hashes", F.expr("transform(_words, w -> xxhash64(w))"))
-        .withColumn("_n", F.size("_words"))
-    )
-    found = []
-    for length in lengths:
-        places = f"sequence(0, _n - {length})"
-        if small:
-            own = grams.where(F.col("_length") == length).select(F.expr(_hash("_hashes", "0", length))).distinct()
-            known = ", ".join(f"{r[0]}L" if r[0] > -(1 << 63) else "(-9223372036854775807L - 1L)" for r in own.collect())
-            places = f"filter({places}, i -> {_hash('_hashes', 'i', length)} in ({known}))"
-        window = f"named_struct('at', i, 'n', {length}, 'key', array_join(slice(_words, i + 1, {length}), ' '))"
-        found.append(f"if(_n >= {length}, transform({places}, i -> {window}), array())")
-    candidates = F.expr(f"concat({', '.join(found)})" if found else "array(cast(null as struct<at:int,n:int,key:string>))")
+    small = is_small(grams, most_windows)
+    candidates, _ = candidates_of(grams, small, "_")
+    own = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
+    base = with_words(own, F.col("_text"), "_")
     hits = base.withColumn("_found", candidates).select("_id", "_row", "_n", F.explode_outer("_found").alias("_hit"))
     keys = grams.select("_key", "_items")
     # a row without a candidate gets a key of its own that no window can have
@@ -111,6 +128,37 @@ def find_leaks(
     )
 
 
+def drop_leaks(
+    docs: DataFrame,
+    bench: DataFrame,
+    size: int = 10,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    most_windows: int = MOST_WINDOWS,
+) -> DataFrame:
+    """The rows, with all their columns, of which no word is inside an occurrence of a benchmark window.
+
+    Null and empty texts stay. A small benchmark needs no shuffle: candidates
+    are compared with the benchmark's words inside the row. A larger one is
+    joined on the words, with each row under its place in the input, so then
+    ``docs`` must be read in a fixed order (as files are).
+    """
+    named, columns = "_leak_", docs.columns
+    grams = benchmark_windows(bench, size, item_col, item_text_col)
+    small = is_small(grams, most_windows)
+    candidates, lengths = candidates_of(grams, small, named)
+    if not lengths:
+        return docs
+    base = with_words(docs, F.col(text_col), named).withColumn(f"{named}found", candidates)
+    if small:
+        keys = ", ".join("'" + r[0] + "'" for r in grams.select("_key").collect())  # words have no quotes in them
+        return base.where(~F.expr(f"exists({named}found, h -> h.key in ({keys}))")).select(*columns)
+    rows = base.withColumn(f"{named}row", F.monotonically_increasing_id())
+    hits = rows.select(f"{named}row", F.explode(f"{named}found.key").alias("_key")).join(grams.select("_key"), "_key", "left_semi")
+    return rows.join(hits.select(f"{named}row").distinct(), f"{named}row", "left_anti").select(*columns)
+
+
 ORACLE_SQL = f"""
 WITH items AS (
   SELECT CAST(item_id AS VARCHAR) AS item,

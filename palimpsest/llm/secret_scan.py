@@ -236,3 +236,18 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .mapInArrow(work, f"doc_id {id_type}, {kinds}, base_sha256 string, spans string, clean_text string")
         .withColumnRenamed("doc_id", id_col)
     )
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", batch_bytes: int = 1 << 22) -> DataFrame:
+    """All rows and columns with every secret in the text, encoded ones included, replaced by a mark; null texts stay null."""
+    columns = docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices_by_bytes(whole, text_col, batch_bytes):
+                texts = batch.column(text_col).to_pylist()
+                clean = pa.array([None if t is None else redact(t, find_secrets(t)[1]) for t in texts], pa.string())
+                held = [clean if c == text_col else batch.column(k) for k, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays(held, names=columns)
+
+    return docs.mapInArrow(work, docs.schema)

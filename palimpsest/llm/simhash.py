@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm._common import binary_text, materialize
@@ -266,3 +266,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.join(component, "print").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LINK) -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of their group.
+
+    Of rows that repeat such an id one stays. A row without an id cannot be told
+    from another and stays.
+    """
+    columns = docs.columns
+    groups = simhash_groups(docs, id_col, text_col, most)
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
+    return (
+        docs.join(kept, F.col(id_col) == F.col("_kept"), "left")
+        .where(F.col("_kept").isNotNull() | F.col(id_col).isNull())
+        .withColumn("_place", place)
+        .where((F.col("_place") == 1) | F.col(id_col).isNull())
+        .select(*columns)
+    )
