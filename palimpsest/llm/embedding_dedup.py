@@ -80,43 +80,51 @@ class WindowForest:
         return links
 
 
-def sorted_pass(vectors: DataFrame, number: int, seed: int, window: int, least: float) -> DataFrame:
-    """Links (a, b) of one pass over (node, size, embedding)."""
+def sorted_passes(vectors: DataFrame, numbers: range, seed: int, window: int, least: float) -> DataFrame:
+    """Links (a, b) of some passes, sorted in one shuffle, over (node, size, embedding)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             size = batch.column("size").to_numpy()
-            key = np.zeros(batch.num_rows, np.int64)
-            for n in np.unique(size):
-                if n not in planes:
-                    planes[n] = np.random.default_rng([seed, number, int(n)]).standard_normal((int(n), KEY_BITS))
+            key = np.zeros((len(numbers), batch.num_rows), np.int64)
+            for n in map(int, np.unique(size)):
                 at = np.flatnonzero(size == n)
-                bits = unit_vectors(batch.column("embedding").take(pa.array(at)), int(n)) @ planes[n] > 0
-                key[at] = np.packbits(bits, axis=1).view(">i8")[:, 0]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("size"), pa.array(key), batch.column("node"), batch.column("embedding")],
-                names=["size", "key", "node", "embedding"],
-            )
+                units = unit_vectors(batch.column("embedding").take(pa.array(at)), n)
+                for k, number in enumerate(numbers):
+                    if (number, n) not in planes:
+                        planes[number, n] = np.random.default_rng([seed, number, n]).standard_normal((n, KEY_BITS))
+                    key[k, at] = np.packbits(units @ planes[number, n] > 0, axis=1).view(">i8")[:, 0]
+            for k, number in enumerate(numbers):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(batch.num_rows, number, np.int32)),
+                        batch.column("size"),
+                        pa.array(key[k]),
+                        batch.column("node"),
+                        batch.column("embedding"),
+                    ],
+                    names=["pass", "size", "key", "node", "embedding"],
+                )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, forest = None, None
         for batch in batches:
             links: list[tuple[int, int]] = []
-            size, node = batch.column("size").to_numpy(), batch.column("node").to_numpy()
-            for a, b in runs(size):
-                if size[a] != last:
-                    last, forest = size[a], WindowForest(window, least, int(size[a]))
-                links += forest.add(unit_vectors(batch.column("embedding").slice(a, b - a), int(last)), node[a:b])
+            number, size, node = (batch.column(c).to_numpy() for c in ("pass", "size", "node"))
+            for a, b in runs(number, size):
+                if (number[a], size[a]) != last:
+                    last, forest = (number[a], size[a]), WindowForest(window, least, int(size[a]))
+                links += forest.add(unit_vectors(batch.column("embedding").slice(a, b - a), int(size[a])), node[a:b])
             ends = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     return (
         vectors.select("node", "size", "embedding")
-        .mapInArrow(keys, f"size int, key long, node long, embedding {kind}")
-        .repartitionByRange("size", "key", "node")
-        .sortWithinPartitions("size", "key", "node")
+        .mapInArrow(keys, f"pass int, size int, key long, node long, embedding {kind}")
+        .repartitionByRange("pass", "size", "key", "node")
+        .sortWithinPartitions("pass", "size", "key", "node")
         .mapInArrow(compare, "a long, b long")
     )
 
@@ -182,13 +190,16 @@ def embedding_groups(
     vector_col: str = "embedding",
     seed: int = 20,
     block: int = 2048,
+    together: int = 4,
 ) -> DataFrame:
     """Return id, ``n_links``, ``component_id`` (smallest id reachable) and ``kept`` for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, and neither do vectors of different lengths. Repeated
     rows link with each other; a null id is never smallest, and it is not kept;
-    an empty table gives an empty result. Other columns are not read.
+    an empty table gives an empty result. Other columns are not read. So many
+    passes share a shuffle as ``together`` says; its disk is that many vectors
+    for each row.
     """
     rows = table.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("_v"))
     bad = "x is null or isnan(x) or abs(x) = double('infinity')"
@@ -202,8 +213,9 @@ def embedding_groups(
     )
     unique = materialize(unique)
     links = None
-    for number in range(passes):
-        found = materialize(sorted_pass(unique, number, seed, window, least))
+    for first in range(0, passes, together):
+        numbers = range(first, min(passes, first + together))
+        found = materialize(sorted_passes(unique, numbers, seed, window, least))
         links = found if links is None else links.unionByName(found)
     labels = materialize(connected_components(links, "a", "b"))
     members = unique.join(labels, "node")
@@ -216,11 +228,14 @@ def embedding_groups(
         .join(counted.select("node", "_least", "links"), "node", "left")
         .select(
             F.col("embedding").alias("_e"),
+            F.xxhash64("embedding").alias("_h"),
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_n"),
             F.coalesce("_least", "_low").alias("_component"),
         )
     )
-    return rows.join(known, F.when(usable, F.col("_v")) == F.col("_e"), "left").select(
+    # the hash comes first, so that sorting seldom compares vectors
+    same = (F.when(usable, F.xxhash64("_v")) == F.col("_h")) & (F.when(usable, F.col("_v")) == F.col("_e"))
+    return rows.join(known, same, "left").select(
         F.col("vec_id").alias(id_col),
         F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("_component", "vec_id").cast("long").alias("component_id"),
