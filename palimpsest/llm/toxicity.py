@@ -15,6 +15,7 @@ calibrates the score. The neighbours are returned as evidence.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from palimpsest.llm.quality import held_out, labelled_sample
 WORD = re.compile(r"[^\W\d_]+")
 MOST_EXAMPLES = 4_000
 MOST_TERMS = 256
-LEAST_CHI2 = 40.0
+LEAST_CHI2 = 24.0
 BLOCK = 64
 
 
@@ -38,7 +39,11 @@ def words_of(text: str) -> Counter:
 
 
 def term_counts(docs: DataFrame, terms: list[str] | None) -> DataFrame:
-    """``_id`` with the places and counts of the terms in each text; all words, as ``words``, if terms is None."""
+    """``_id`` with the places and counts of the terms in each text; if terms is None, all words and a sketch of them.
+
+    The sketch is made of the two least hashes of long words, so that near copies
+    mostly share it.
+    """
     places = None if terms is None else {t: i for i, t in enumerate(terms)}
     id_type = docs.schema["_id"].dataType.simpleString()
 
@@ -48,7 +53,9 @@ def term_counts(docs: DataFrame, terms: list[str] | None) -> DataFrame:
                 texts = [utf8(x) for x in batch.column("_text").to_pylist()]
                 if places is None:
                     words = [list(words_of(t)) for t in texts]
-                    yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(words, pa.list_(pa.string()))], names=["_id", "words"])
+                    sketch = [str(sorted(zlib.crc32(w.encode()) for w in x if len(w) > 7)[:2] or sorted(x)) for x in words]
+                    columns = [batch.column("_id"), pa.array(words, pa.list_(pa.string())), pa.array(sketch, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["_id", "words", "sketch"])
                     continue
                 found = [sorted((p, n) for w, n in words_of(t).items() if (p := places.get(w)) is not None) for t in texts]
                 yield pa.RecordBatch.from_arrays(
@@ -60,15 +67,18 @@ def term_counts(docs: DataFrame, terms: list[str] | None) -> DataFrame:
                     names=["_id", "terms", "counts"],
                 )
 
-    schema = "words array<string>" if places is None else "terms array<int>, counts array<int>"
+    schema = "words array<string>, sketch string" if places is None else "terms array<int>, counts array<int>"
     return docs.select("_id", binary_text(F.col("_text")).alias("_text")).mapInArrow(work, f"_id {id_type}, {schema}")
 
 
-def choose_terms(docs: DataFrame, sample: DataFrame, sizes: dict[int, int]) -> list[str]:
-    """The words that tell the labels apart in the sample, the most telling first."""
+def choose_terms(docs: DataFrame, sample: DataFrame) -> list[str]:
+    """The words that tell the labels apart in the sample, the most telling first; near copies count once."""
     chosen = docs.join(F.broadcast(sample), F.col("_id") == F.col("_label_id"))
     words = term_counts(chosen.select(F.struct("_id", "_label").alias("_id"), "_text"), None)
-    counts = words.select(F.col("_id._label").alias("y"), F.explode("words").alias("w")).groupBy("w").agg(
+    words = words.select(F.col("_id._label").alias("y"), "sketch", "words")  # of a bounded sample
+    words = materialize(words.groupBy("y", "sketch").agg(F.min("words").alias("words")))
+    sizes = {r["y"]: r["count"] for r in words.groupBy("y").count().collect()}
+    counts = words.select("y", F.explode("words").alias("w")).groupBy("w").agg(
         F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b")
     )
     na, nb = float(max(1, sizes.get(1, 0))), float(max(1, sizes.get(0, 0)))
@@ -78,6 +88,20 @@ def choose_terms(docs: DataFrame, sample: DataFrame, sizes: dict[int, int]) -> l
     return [r["w"] for r in best.orderBy(F.col("chi2").desc(), "w").limit(MOST_TERMS).collect()]
 
 
+def document_counts(found: DataFrame, terms: int) -> dict[int, int]:
+    """In how many texts each term occurs, summed in each partition before anything is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=terms)[:terms]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["t", "n"])
+
+    sums = found.select("terms").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return {r["t"]: r["n"] for r in sums.collect()}  # one for each term
+
+
 class BlockMaxIndex:
     """Exact nearest neighbours by cosine among weighted examples."""
 
@@ -96,7 +120,7 @@ class BlockMaxIndex:
                 postings[place].append((row, weight))
         self.rows = [np.array([r for r, _ in p], np.int64) for p in postings]
         self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.starts = np.array([np.searchsorted(r // BLOCK, np.arange(self.blocks + 1)) for r in self.rows]).reshape(terms, -1)
+        self.starts = np.array([np.searchsorted(r // BLOCK, np.arange(self.blocks + 1)) for r in self.rows]).reshape(terms, self.blocks + 1)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, ties by place."""
@@ -208,10 +232,10 @@ def classify_toxicity(
     id_type = docs.schema[id_col].dataType.simpleString()
     sample = docs.sparkSession.createDataFrame(chosen, f"_label_id {id_type}, _label int")
     share = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
-    terms = choose_terms(own, sample, Counter(y for _, y in chosen))
+    terms = choose_terms(own, sample)
     found = materialize(term_counts(own, terms))
     n = found.count()
-    seen = {r[0]: r[1] for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
+    seen = document_counts(found, len(terms))
     idf = np.array([np.log((1 + n) / (1 + seen.get(i, 0))) + 1 for i in range(len(terms))])
     joined = found.join(F.broadcast(sample), F.col("_id") == F.col("_label_id"))
     # one row for each example, whatever the number of documents with its id
