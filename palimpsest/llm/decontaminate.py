@@ -150,7 +150,8 @@ def drop_leaks(
     candidates, lengths = candidates_of(grams, small, named)
     if not lengths:
         return docs
-    base = with_words(docs, F.col(text_col), named).withColumn(f"{named}found", candidates)
+    # exploded from an array of one, as Spark would put the whole expression into a filter on a plain column
+    base = with_words(docs, F.col(text_col), named).select("*", F.explode(F.array(candidates)).alias(f"{named}found"))
     if small:
         keys = ", ".join("'" + r[0] + "'" for r in grams.select("_key").collect())  # words have no quotes in them
         return base.where(~F.expr(f"exists({named}found, h -> h.key in ({keys}))")).select(*columns)

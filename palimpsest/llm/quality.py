@@ -208,7 +208,8 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", sco
     result. The inner columns begin with ``_stat_`` or are ``_words``.
     """
     stats, names = with_statistics(docs, text_col)
-    return stats.withColumn(score_col, model.column()).drop("_words", *names)
+    # exploded from an array of one, as Spark would put the whole expression into a filter on a plain column
+    return stats.select(*docs.columns, F.explode(F.array(model.column())).alias(score_col))
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
