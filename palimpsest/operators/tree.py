@@ -62,6 +62,15 @@ def snapshot(roots: DataFrame, root_edge: DataFrame, dim_edge: DataFrame, region
     )
 
 
+def read_nodes(wanted: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Entries of the nodes named in (place, key), a node as often as it is named; a node that is not stored is an error."""
+    entries = [c for c in edges.columns if c != key]
+    nodes = edges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*entries))).alias("entries"))
+    told = F.raise_error(F.concat(F.lit("node missing from the store: "), F.col(key)))
+    found = wanted.join(nodes, key, "left")
+    return found.select("place", key, F.when(F.col("entries").isNull(), told.cast(nodes.schema["entries"].dataType)).otherwise(F.col("entries")).alias("entries"))
+
+
 def lookup(root_hash: str, key: tuple[int, int, int, int], root_edge: DataFrame, dim_edge: DataFrame, region_edge: DataFrame) -> DataFrame:
     """The chunk at a key, or no row; each level is filtered before it is joined."""
     dim, kind, x, z = key

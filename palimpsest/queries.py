@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import coords, names
 from palimpsest.functions.coords import KEY, with_region
-from palimpsest.functions.digest import COMMIT_TAG, DIM_TAG, REGION_TAG, ROOT_TAG
+from palimpsest.functions.digest import COMMIT_TAG, DIM_TAG, REGION_TAG, ROOT_TAG, dimension_code, parse_hex
 from palimpsest.operators import cache, checkout, diff, graph, staging, tree
 from palimpsest.plans.scope import Area, Rect, Scope, in_named_scopes, named_scope
 from palimpsest.sources import tables
@@ -150,6 +150,27 @@ def time_rendering(spark, sf_dir):
     return e.select("event_id", names.show_time(ms).alias("shown"), names.checkout_stamp(ms).alias("stamp"))
 
 
+@query(
+    "SELECT n_name AS name, CAST(CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END AS INT) AS dim FROM (SELECT n_name, CAST('0x' || "
+    "substr(sha256(n_name), 7, 2) || substr(sha256(n_name), 5, 2) || substr(sha256(n_name), 3, 2) || substr(sha256(n_name), 1, 2) AS BIGINT) AS v FROM nation)"
+)
+def dimension_codes(spark, sf_dir):
+    n = tables.read(spark, sf_dir, "nation")
+    return n.select(F.col("n_name").alias("name"), dimension_code(F.col("n_name")).alias("dim"))
+
+
+@query(f"WITH {WORLDS} SELECT kind, CASE kind WHEN 0 THEN 'region' WHEN 1 THEN 'entities' ELSE 'poi' END AS name, count(*) AS chunks FROM v1 GROUP BY ALL")
+def kind_names(spark, sf_dir):
+    counts = world(spark, sf_dir, 1)[0].groupBy("kind").agg(F.count("*").alias("chunks"))
+    return counts.select("kind", names.show_kind(F.col("kind")).alias("name"), "chunks")
+
+
+@query("SELECT item_id, sha256(text) AS digest, CAST(NULL AS VARCHAR) AS short FROM benchmark")
+def hex_digests(spark, sf_dir):
+    b = tables.read(spark, sf_dir, "benchmark").withColumn("h", F.upper(F.sha2("text", 256)))
+    return b.select("item_id", parse_hex(F.col("h")).alias("digest"), parse_hex(F.substring("h", 1, 63)).alias("short"))
+
+
 # --- staging --------------------------------------------------------------------------------------
 
 
@@ -281,6 +302,17 @@ def chunk_lookup(spark, sf_dir):
     return out
 
 
+@query(
+    f"WITH {WORLDS}, {tree_sql('v2', 'a')}, n AS (SELECT region_hash, count(*) AS entries FROM ar JOIN (SELECT dim, kind, x >> 5 AS rx, z >> 5 AS rz FROM v2) USING (dim, kind, rx, rz) GROUP BY ALL) "
+    "SELECT place, region_hash, entries FROM n, (SELECT unnest([0, 1]) AS place)"
+)
+def bulk_node_reads(spark, sf_dir):
+    edges = _edges(spark, sf_dir)[2]
+    wanted = edges.select("region_hash").distinct().select(F.explode(F.array(F.lit(0), F.lit(1))).alias("place"), "region_hash")
+    found = tree.read_nodes(wanted, edges, "region_hash")
+    return found.select("place", "region_hash", F.size("entries").cast("long").alias("entries"))
+
+
 @query("SELECT region_hash, fault FROM (SELECT '' AS region_hash, '' AS fault) WHERE false")
 def verify_nodes(spark, sf_dir):
     return tree.verify_nodes(_edges(spark, sf_dir)[2])
@@ -363,6 +395,36 @@ def diff_named_keys(spark, sf_dir):
     return diff.diff_keys(keys, *world(spark, sf_dir, 1, 2))
 
 
+@query(f"WITH {WORLDS} SELECT dim, kind, x, z FROM v1 UNION SELECT dim, kind, x, z FROM v2")
+def all_places(spark, sf_dir):
+    a, b = world(spark, sf_dir, 1, 2)
+    return a.select(*KEY).unionByName(b.select(*KEY)).distinct()
+
+
+@query(
+    f"WITH {WORLDS}, all_v AS (SELECT 1 AS seq, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3), "
+    "l AS (SELECT *, lag(hash) OVER (PARTITION BY dim, kind, x, z ORDER BY seq) AS before FROM all_v) "
+    "SELECT seq, count(*) FILTER (before IS NULL) AS appeared, count(*) FILTER (before <> hash) AS edited FROM l GROUP BY seq"
+)
+def consecutive_versions(spark, sf_dir):
+    from pyspark.sql import Window
+
+    v = world(spark, sf_dir, 1, 2, 3)
+    every = v[0].withColumn("seq", F.lit(1)).unionByName(v[1].withColumn("seq", F.lit(2))).unionByName(v[2].withColumn("seq", F.lit(3)))
+    before = F.lag("hash").over(Window.partitionBy(*KEY).orderBy("seq"))
+    counted = every.withColumn("before", before).groupBy("seq")
+    n = lambda c: F.sum(c.cast("long"))
+    return counted.agg(n(F.col("before").isNull()).alias("appeared"), F.coalesce(n(F.col("before") != F.col("hash")), F.lit(0)).alias("edited"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations")
+def record_sequence(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = tables.read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("seq"))
+
+
 # --- the graph of commits -------------------------------------------------------------------------
 
 GRAPH = """
