@@ -28,12 +28,16 @@ from palimpsest.llm._common import binary_text, materialize, numbered, slices_by
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)").fullmatch
 #: white space for Python but not for the tokenizer
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
-MOST_CACHED = 600_000
+MOST_CACHED = 500_000
 
 
 class WordIds(dict):
     """Ids, as little-endian 32-bit integers, of texts without white space, kept by text.
 
+    What is kept has two generations: when the younger is full it becomes the
+    older, and words that are still met move back to the younger, so frequent
+    words stay and memory is bounded.
+
     The tokenizer cuts at white space and at the border of letters and marks, so
     the ids of a text are those of its words, one after the other.
     """
@@ -43,6 +47,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = array.array("I", self.encode(text, add_special_tokens=False).ids)
@@ -51,12 +56,15 @@ class WordIds(dict):
         return ids.tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        m = SIMPLE(word)
-        if m and (m[2] or not word.islower()):
-            ids = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
-        else:
-            ids = self.whole(word)
+        ids = self.older.get(word)
+        if ids is None:
+            m = SIMPLE(word)
+            if m and (m[2] or not word.islower()):
+                ids = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
+            else:
+                ids = self.whole(word)
         if len(self) >= MOST_CACHED:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
