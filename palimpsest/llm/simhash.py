@@ -263,6 +263,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = labels.groupBy("root").agg(F.min("_rep").alias("_low"))
     linked = labels.join(lowest, "root").select(F.col("node").alias("print"), "_low")
     component = first.join(linked, "print", "left").select("print", F.coalesce("_low", "_rep").alias("component_id"))
+    # materialised, so that both sides of the last join are dealt out for it and a print with many rows can be split
+    component = materialize(component)
     return own.join(component, "print").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
