@@ -29,31 +29,33 @@ def require(commits: DataFrame, commit: str) -> None:
         raise UnknownCommit(commit)
 
 
-def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
+def ancestors(edges: DataFrame, start: DataFrame, together: int = 12) -> DataFrame:
     """(id, depth) of all ancestors of the ids in ``start``, the nearest depth of each, start itself left out.
 
-    One join for each generation over a frontier of ids not seen before; paths
-    are not enumerated, so diamonds cost nothing. Each frontier is checkpointed
-    where the session has a folder for it.
+    A job goes up so many generations as ``together`` says, with each generation
+    made distinct, and then keeps what was not seen before; paths are not
+    enumerated, so diamonds cost nothing. The ids found are checkpointed where
+    the session has a folder for it.
     """
-    spark = edges.sparkSession
-    edge = edges.select("child_id", "parent_id").distinct()
+    reliable = not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
+    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
+    edge = keep(edges.select("child_id", "parent_id").distinct())
     frontier = start.select("id").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
-    reliable = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
     depth = 0
     while True:
-        depth += 1
-        found = frontier.join(edge, F.col("id") == F.col("child_id")).select(F.col("parent_id").alias("id")).distinct()
-        fresh = found.join(seen.select("id"), "id", "left_anti")
-        fresh = fresh.checkpoint() if reliable else fresh.persist()
-        if not fresh.limit(1).count():
-            break
-        seen = seen.unionByName(fresh.withColumn("depth", F.lit(depth)))
-        if reliable and depth % 8 == 0:
-            seen = seen.checkpoint()
-        frontier = fresh
-    return seen.where("depth > 0")
+        level, levels = frontier, None
+        for k in range(1, together + 1):
+            level = level.join(edge, F.col("id") == F.col("child_id")).select(F.col("parent_id").alias("id")).distinct()
+            own = level.withColumn("depth", F.lit(depth + k))
+            levels = own if levels is None else levels.unionByName(own)
+        nearest = levels.groupBy("id").agg(F.min("depth").alias("depth"))
+        fresh = keep(nearest.join(seen.select("id"), "id", "left_anti"))
+        depth += together
+        seen = keep(seen.unionByName(fresh))
+        frontier = fresh.where(F.col("depth") == depth).select("id")
+        if not frontier.limit(1).count():
+            return seen.where("depth > 0")
 
 
 def linear_ancestors(edges: DataFrame, start: str, most: int = 100_000) -> DataFrame:
