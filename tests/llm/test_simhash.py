@@ -2,11 +2,12 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from cases import no_documents, odd_documents
 
 from palimpsest.llm.components import connected_components
-from palimpsest.llm.simhash import covering_codes, fingerprint_links, simhash_groups
+from palimpsest.llm.simhash import anchor_families, fingerprint_links, simhash_groups
 
 
 def plain_fingerprint(text):
@@ -61,15 +62,21 @@ def test_whole_table_against_brute_force(spark):
     assert got(simhash_groups(df)) == plain_groups([(r.doc_id, r.text) for r in df.collect()])
 
 
-def test_every_close_pair_meets_at_an_anchor():
+@pytest.mark.parametrize("joint", [1, 2])
+def test_every_close_pair_meets_at_an_anchor(joint):
     rng = random.Random(3)
-    for code in covering_codes():
-        for _ in range(300):
-            x = rng.getrandbits(64)
-            y = x ^ (1 << code.shift + rng.randrange(code.length))
-            home = int(code.home(np.array([x], np.uint64))[0])
-            assert home in code.anchors(np.array([y], np.uint64))[1].tolist()
-            assert (home ^ int(code.word(np.array([x], np.uint64))[0])).bit_count() <= 3
+    families = anchor_families(joint=joint)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), 4):
+            y ^= 1 << b
+        a, b = np.array([x], np.uint64), np.array([y], np.uint64)
+        assert any(int(f.home(a)[0]) in f.copies(b)[1].tolist() for f in families)
+        for f in families:
+            rows, keys = f.copies(np.array([x, y], np.uint64))
+            assert keys[0] == f.home(a)[0] and keys[np.searchsorted(rows, 1)] == f.home(b)[0]
+            assert len(set(zip(rows.tolist(), keys.tolist(), strict=True))) == len(rows)
 
 
 def test_links_give_the_components_of_all_close_pairs(spark):
@@ -86,8 +93,8 @@ def test_links_give_the_components_of_all_close_pairs(spark):
     unsigned = {p: p % (1 << 64) for p in prints}
     linked = [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (unsigned[a] ^ unsigned[b]).bit_count() <= 4]
     want = components(prints, linked)
-    for part in (1 << 16, 2):  # 2: anchors with many at home are split
-        labels = connected_components(fingerprint_links(df, part=part), "a", "b")
+    for part, joint in ((1 << 16, 1), (2, 1), (2, 2)):  # 2: anchors with many at home are split
+        labels = connected_components(fingerprint_links(df, part=part, joint=joint), "a", "b")
         found = {r.node: r.root for r in labels.collect()}
         assert {p: found.get(p, p) for p in prints} == want
 
