@@ -66,13 +66,20 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark has for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, with Parquet in the shared folder between them."""
+    """All stages over ``documents``, with Parquet in the shared folder between them; the last stage's stays."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
     base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for place, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{place}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{place}")
+        docs = spark.read.parquet(f"{base}/{place}")
+        if place:
+            _remove(spark, f"{base}/{place - 1}")
     return docs
