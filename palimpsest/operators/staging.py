@@ -35,9 +35,12 @@ def new_files(changed: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def changes(current: DataFrame, base: DataFrame, scope: Scope = WORLD) -> DataFrame:
-    """All changes as (key, hash), with a null hash for a tombstone."""
-    gone = tombstones(current, base, scope).withColumn("hash", F.lit(None).cast("string"))
-    return changed_chunks(current.where(scope.contains()).select(*KEY, "hash"), base).unionByName(gone)
+    """All changes as (key, hash), with a null hash for a tombstone, by one join of both sides."""
+    now = current.where(scope.contains()).select(*KEY, F.col("hash").alias("_now"), F.lit(True).alias("_here"))
+    before = base.where(scope.contains()).select(*KEY, F.col("hash").alias("_before"))
+    both = now.join(before, list(KEY), "full")
+    changed = F.col("_here").isNull() | ~F.col("_now").eqNullSafe(F.col("_before"))
+    return both.where(changed).select(*KEY, F.col("_now").alias("hash"))
 
 
 def _n(column: Column) -> Column:
@@ -92,8 +95,11 @@ def first_payloads(entries: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def new_blobs(entries: DataFrame, blobs: DataFrame, payload: str = "payload") -> DataFrame:
-    """Payloads to append to the store: insert if absent, the first payload of a digest wins."""
-    return first_payloads(entries, payload).join(blobs.select("hash"), "hash", "left_anti")
+    """Payloads to append to the store: insert if absent, the first payload of a digest wins.
+
+    Known digests go first, so that both steps share one shuffle by digest.
+    """
+    return first_payloads(entries.join(blobs.select("hash"), "hash", "left_anti"), payload)
 
 
 def missing_blobs(entries: DataFrame, blobs: DataFrame) -> DataFrame:
