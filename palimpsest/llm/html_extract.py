@@ -48,6 +48,7 @@ NOISE_WORDS = frozenset(
     "notice popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus replies "
     "reply respond discussion toolbar pagination pager copyright legal".split()
 )
+BESIDE = frozenset("has have no not with without".split())  # has-sidebar says what stands beside an element
 COMMENT_WORDS = frozenset("comment comments disqus replies reply".split())
 MAIN = ("article", "main")
 CLOSES_P = frozenset(
@@ -84,9 +85,12 @@ def is_noise(step: str) -> bool:
         return True
     if name in ("html", "body"):
         return False
-    words = COMMENT_WORDS if name in MAIN else NOISE_WORDS
-    marks = re.findall(r"[.@][^.@]+", step[len(name) :])
-    return any(m[0] == "@" and m[1:] in NOISE_ROLES or m[0] == "." and set(re.split(r"[^a-z]+", m[1:])) & words for m in marks)
+    noise = COMMENT_WORDS if name in MAIN else NOISE_WORDS
+    for mark in re.findall(r"[.@][^.@]+", step[len(name) :]):
+        words = set(re.split(r"[^a-z]+", mark[1:]))
+        if mark[0] == "@" and mark[1:] in NOISE_ROLES or mark[0] == "." and words & noise and not words & BESIDE:
+            return True
+    return False
 
 
 def tokens(page: str) -> list[Token]:

@@ -85,4 +85,4 @@ def test_whole_table_against_a_plain_cut(spark):
 def test_noise_words():
     noise = ["nav", "div.ad", "div.side-bar.widget", "div@navigation", "section.comments", "article.comment", "div.cookie-notice"]
     assert all(map(html_extract.is_noise, noise))
-    assert not any(map(html_extract.is_noise, ["div.content", "article.related", "body.menu", "div.readable"]))
+    assert not any(map(html_extract.is_noise, ["div.content", "article.related", "body.menu", "div.has-sidebar", "div.readable"]))
