@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import read_table
+from palimpsest.llm._common import free_prefix, read_table
 from palimpsest.llm.decontaminate import drop_leaks
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.quality import held_out, score_quality, train_quality
@@ -29,8 +29,8 @@ LEAST_QUALITY = 0.7
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = train_quality(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
-    scored = score_quality(docs, model, score_col="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    score = free_prefix(docs.columns, "_quality")
+    return score_quality(docs, model, score_col=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,13 @@ def binary_text(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
 
 
+def free_prefix(columns: list[str], base: str) -> str:
+    """A prefix for inner columns with which none of the given columns begins, whatever their case."""
+    while any(c.lower().startswith(base.lower()) for c in columns):
+        base = f"_{base}"
+    return base
+
+
 def utf8(value: bytes | None) -> str:
     """Decoded text; bytes that are no UTF-8 become U+FFFD instead of an error."""
     return (value or b"").decode("utf-8", "replace")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import UPPER, ascii_lower
+from palimpsest.llm._common import UPPER, ascii_lower, free_prefix
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_WINDOWS = 50_000
@@ -144,7 +144,7 @@ def drop_leaks(
     joined on the words, with each row under its place in the input, so then
     ``docs`` must be read in a fixed order (as files are).
     """
-    named, columns = "_leak_", docs.columns
+    named, columns = free_prefix(docs.columns, "_leak_"), docs.columns
     grams = benchmark_windows(bench, size, item_col, item_text_col)
     small = is_small(grams, most_windows)
     candidates, lengths = candidates_of(grams, small, named)

@@ -17,15 +17,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm._common import free_prefix
+
 MOST_LABELLED = 10_000
 Condition = tuple[int, bool, float]  # statistic, whether above, border
 Rule = tuple[Condition, ...]
 
 
-def statistics(text: Column) -> dict[str, Column]:
+def statistics(text: Column, words: Column) -> dict[str, Column]:
     """Statistics of a text as columns; shares are of what their name says, and 0 where there is none."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.col("_words")
     chars, n = F.char_length(text), F.size(words)
     # a count is what is shorter without what is counted, as regexp_count would make an array of all matches
     count = lambda pattern: chars - F.char_length(F.regexp_replace(text, pattern + "+", ""))
@@ -49,13 +49,12 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def with_statistics(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
-    """Add ``_words`` and the statistics, the latter with names of their own."""
+def with_statistics(docs: DataFrame, text_col: str, prefix: str) -> tuple[DataFrame, list[str]]:
+    """Add the words and the statistics as columns that begin with ``prefix``; returns the statistics' names without it."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = statistics(F.col(text_col))
-    names = [f"_stat_{k}" for k in found]
-    docs = docs.withColumn("_words", F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
-    return docs.withColumns(dict(zip(names, found.values(), strict=True))), names
+    docs = docs.withColumn(f"{prefix}words", F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
+    found = statistics(text, F.col(f"{prefix}words"))
+    return docs.withColumns({prefix + name: column for name, column in found.items()}), list(found)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -140,11 +139,11 @@ class RuleModel:
             return np.zeros(0)
         return sigmoid(self.intercept + sum((w * applies(r, x) for r, w in self.rules), np.zeros(len(x))))
 
-    def column(self) -> Column:
-        """The score as one column over the statistics."""
+    def column(self, prefix: str = "") -> Column:
+        """The score as one column over the statistics, whose columns begin with ``prefix``."""
         terms = []
         for rule, weight in self.rules:
-            conditions = " AND ".join(f"`{self.names[f]}` {'>' if above else '<='} {border!r}D" for f, above, border in rule)
+            conditions = " AND ".join(f"`{prefix}{self.names[f]}` {'>' if above else '<='} {border!r}D" for f, above, border in rule)
             terms.append(f"IF({conditions}, {weight!r}D, 0D)")
         if not terms:
             return F.lit(float(sigmoid(np.array(self.intercept))))
@@ -155,7 +154,7 @@ class RuleModel:
         """The rules in words, the weightiest first."""
         order = sorted(self.rules, key=lambda r: -abs(r[1]))
         return [
-            f"{w:+.3f} if " + " and ".join(f"{self.names[f].removeprefix('_stat_')} {'>' if a else '<='} {b:.4g}" for f, a, b in r)
+            f"{w:+.3f} if " + " and ".join(f"{self.names[f]} {'>' if a else '<='} {b:.4g}" for f, a, b in r)
             for r, w in order
         ]
 
@@ -192,9 +191,9 @@ def train_quality(
     """Fit the rules on labelled rows for which ``keep``, a condition on the labels, holds."""
     sample = F.broadcast(labelled_sample(labels, id_col, label_col, keep, most_labelled))  # at most most_labelled rows
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    stats, names = with_statistics(own.join(sample, F.col("_id") == F.col("_label_id")), "_text")
+    stats, names = with_statistics(own.join(sample, F.col("_id") == F.col("_label_id")), "_text", "_stat_")
     # one row for each id of the sample, whatever the number of documents with that id
-    least = F.min(F.struct("_label", *names)).alias("_row")
+    least = F.min(F.struct("_label", *(f"_stat_{n}" for n in names))).alias("_row")
     rows = sorted((r[0], *r[1]) for r in stats.groupBy("_id").agg(least).collect())
     data = np.array([r[1:] for r in rows], np.float64).reshape(-1, 1 + len(names))
     return fit_rules(data[:, 1:], data[:, 0], names)
@@ -205,11 +204,12 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", sco
 
     Null and empty texts get the score of a text without words. Repeated rows
     and null ids are scored like any other; an empty table gives an empty
-    result. The inner columns begin with ``_stat_`` or are ``_words``.
+    result. Inner columns have names that no column of the input begins with.
     """
-    stats, names = with_statistics(docs, text_col)
+    prefix = free_prefix(docs.columns, "_stat_")
+    stats, _ = with_statistics(docs, text_col, prefix)
     # exploded from an array of one, as Spark would put the whole expression into a filter on a plain column
-    return stats.select(*docs.columns, F.explode(F.array(model.column())).alias(score_col))
+    return stats.select(*docs.columns, F.explode(F.array(model.column(prefix))).alias(score_col))
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import binary_text, materialize
+from palimpsest.llm._common import binary_text, free_prefix, materialize
 from palimpsest.llm.components import connected_components
 
 BITS = 64
@@ -315,14 +315,14 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Of rows that repeat such an id one stays. A row without an id cannot be told
     from another and stays.
     """
-    columns = docs.columns
+    columns, own = docs.columns, free_prefix(docs.columns, "_own_")
+    kept_id, place = f"{own}kept", f"{own}place"
     groups = simhash_groups(docs, id_col, text_col, most)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(kept_id)).distinct()
     return (
-        docs.join(kept, F.col(id_col) == F.col("_kept"), "left")
-        .where(F.col("_kept").isNotNull() | F.col(id_col).isNull())
-        .withColumn("_place", place)
-        .where((F.col("_place") == 1) | F.col(id_col).isNull())
+        docs.join(kept, F.col(id_col) == F.col(kept_id), "left")
+        .where(F.col(kept_id).isNotNull() | F.col(id_col).isNull())
+        .withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
+        .where((F.col(place) == 1) | F.col(id_col).isNull())
         .select(*columns)
     )

@@ -64,6 +64,17 @@ def test_stages_on_odd_rows(spark, odd, data):
         assert stage(spark, odd, data).columns == COLUMNS
 
 
+def test_columns_with_clashing_names_stay(spark, data):
+    own = {"_own_kept": 1, "_stat_words": 2, "_leak_found": 3, "_words": 4, "component_id": 5, "_quality": 6}
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(i, text + " x" * i, "en", "s", 5, *own.values()) for i in range(3)], [*COLUMNS, *own])
+    docs = docs.withColumn("doc_id", docs.doc_id.cast("long"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, data)
+        assert got.columns == docs.columns
+        assert all(tuple(r[5:]) == tuple(own.values()) for r in got.collect())
+
+
 def test_entry_works_without_the_subpackage(monkeypatch):
     for name in [m for m in sys.modules if m.startswith(("palimpsest.llm", "corpus_pipeline", "__spark_entry__"))]:
         monkeypatch.delitem(sys.modules, name)
