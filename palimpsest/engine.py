@@ -172,11 +172,19 @@ class Engine:
         return {"rebuilt_files": done["n"], "deleted_files": len(doomed), "restored_chunks": done["c"] or 0}
 
     def diff_commits(self, old: str | None, new: str, scope: Scope = WORLD) -> DataFrame:
-        """(key, old, new) between two commits; by default the older is the lowest parent of the newer."""
+        """(key, old, new) between two commits; by default the older is the lowest parent of the newer.
+
+        Regions that both commits have with the same hash are left out before
+        any of their chunks are read.
+        """
+        store = self.store
         if old is None:
-            own = self.store.parents(new)
+            own = store.parents(new)
             old = own[0] if own else None
-        return diff.diff_commits(self.store.snapshot(old), self.store.snapshot(new), scope)
+        before, after = (store.regions(c).where(scope.matches_region()) for c in (old, new))
+        same = [*REGION, "region_hash"]
+        only = [a.join(b.select(*same), same, "left_anti") for a, b in ((before, after), (after, before))]
+        return diff.diff_commits(*map(store.expand, only), scope)
 
     def diff_world(self, of, commit: str | None = None, scope: Scope = WORLD, include_removed: bool = False) -> DataFrame:
         """(key, old, new) between a commit, by default the active ref's, and a world."""

@@ -21,6 +21,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.coords import SIDE
 from palimpsest.functions.digest import EMPTY_ROOT, commit_id
 from palimpsest.functions.names import check_name, check_ref_name
 from palimpsest.operators import graph, tree
@@ -134,6 +135,12 @@ class Store:
         top = self.table("root_edges").where(F.col("root_hash") == self.root_of(commit))
         return top.join(self.table("dim_edges"), "dim_hash").select("dim", "kind", "rx", "rz", "region_hash")
 
+    def expand(self, regions: DataFrame) -> DataFrame:
+        """Chunks of (region, region_hash), read from the nodes of those regions only."""
+        walk = regions.join(self.table("region_edges"), "region_hash")
+        x, z = (F.col(r) * SIDE + F.col(c) for r, c in (("rx", "cx"), ("rz", "cz")))
+        return walk.select("dim", "kind", x.alias("x"), z.alias("z"), "hash")
+
     def record(self, parents: list[str], created_at_ms: int, root_hash: str) -> str:
         """Add a commit's row; recording the same commit again changes nothing."""
         parents = sorted(set(parents))
