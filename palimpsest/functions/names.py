@@ -22,22 +22,22 @@ DIMENSION_NAMES = {OVERWORLD: "overworld", NETHER: "nether", END: "end"}
 KINDS = {"region": 0, "entities": 1, "poi": 2}
 
 
-class NameError_(ValueError):
+class BadName(ValueError):
     """A name that the grammar does not allow."""
 
 
 def check_name(raw: str) -> str:
     """A path-like ASCII name, or an error that says why not."""
     if not raw:
-        raise NameError_("a name is empty")
+        raise BadName("a name is empty")
     if len(raw.encode()) > MOST_NAME:
-        raise NameError_(f"a name is longer than {MOST_NAME} bytes")
+        raise BadName(f"a name is longer than {MOST_NAME} bytes")
     if bad := re.search(r"[^A-Za-z0-9._/-]", raw):
-        raise NameError_(f"a name holds {bad[0]!r}")
+        raise BadName(f"a name holds {bad[0]!r}")
     if "" in raw.split("/"):
-        raise NameError_("a name has an empty component")
+        raise BadName("a name has an empty component")
     if {".", ".."} & set(raw.split("/")):
-        raise NameError_("a name has a '.' or '..' component")
+        raise BadName("a name has a '.' or '..' component")
     return raw
 
 
@@ -45,7 +45,7 @@ def check_ref_name(raw: str) -> str:
     """A name that is neither all digits nor HEAD, which stand for commits."""
     check_name(raw)
     if raw.isdigit() or raw.lower() == "head":
-        raise NameError_(f"{raw!r} is reserved")
+        raise BadName(f"{raw!r} is reserved")
     return raw
 
 
@@ -92,4 +92,4 @@ def show_time(ms: Column) -> Column:
 
 def checkout_stamp(ms: Column) -> Column:
     """Seconds for a region file's timestamps, saturated at 32 bits."""
-    return F.least(F.expr("0L") + F.floor(ms / 1000), F.lit((1 << 32) - 1)).cast("long")
+    return F.least(F.floor(ms / 1000), F.lit((1 << 32) - 1)).cast("long")

@@ -49,7 +49,7 @@ def test_names_agree_with_the_grammar(spark):
         try:
             check(name)
             return True
-        except names.NameError_:
+        except names.BadName:
             return False
 
     rows = spark.createDataFrame([(n,) for n in raw], "n string").select("n", names.is_name(F.col("n")).alias("a"), names.is_ref_name(F.col("n")).alias("b")).collect()

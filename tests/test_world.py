@@ -13,7 +13,7 @@ import xxhash
 
 from palimpsest import cli
 from palimpsest.engine import Engine
-from palimpsest.functions.names import NETHER, OVERWORLD, NameError_, check_ref_name
+from palimpsest.functions.names import NETHER, OVERWORLD, BadName, check_ref_name
 from palimpsest.operators.checkout import Policy
 from palimpsest.plans.scope import Area, Rect, Scope, parse_area, parse_region
 from palimpsest.sources import nbt, region_file, world
@@ -163,7 +163,7 @@ def test_names_and_areas():
     for good in ("main", "a/b.c-d_e", "Spawn", "1a", "..."):
         assert check_ref_name(good) == good
     for bad in ("", "/a", "a/", "a//b", "a/../b", ".", "é", "x" * 256, "123", "HEAD", "head"):
-        with pytest.raises(NameError_):
+        with pytest.raises(BadName):
             check_ref_name(bad)
     assert parse_area("nether:5,-3..1,9") == Area(NETHER, Rect(1, -3, 5, 9))
     assert parse_area("7") == Area(7) and parse_area("ow:1,2").chunks == {(1, 2)}
