@@ -3,8 +3,10 @@
 Every round replaces the links of each node by links to the smallest node that
 it sees, until the links no longer change; then each node points at the smallest
 node of its component. A round is two joins on the node with pre-aggregated
-minima, so no task gathers a node's neighbours, and its result is checkpointed
-in the shared folder.
+minima. The links of a node are dealt into ``PARTS`` parts, each of which meets a
+copy of the node's minimum, so that a node with very many links costs no task
+much more than others. The result of a round is checkpointed in the shared
+folder.
 """
 
 from __future__ import annotations
@@ -15,6 +17,17 @@ from pyspark.sql import functions as F
 from palimpsest.llm._common import materialize
 
 
+PARTS = 8
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Links (u, v) with the minimum m of their u."""
+    dealt = links.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    copies = least.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    copies = copies.repartition("u", "_part")  # so that the copies' own size decides about a broadcast
+    return dealt.join(copies, ["u", "_part"]).drop("_part")
+
+
 def _signature(links: DataFrame) -> tuple[int, int]:
     row = links.agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")
@@ -37,11 +50,11 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _with_least(both, low).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            _with_least(large, low)
             .where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
