@@ -324,7 +324,7 @@ def read_wrapper(streams: list[list[Token]]) -> tuple[list[str], list[str]]:
             if len(p) > len(path) and p[: len(path)] == path:
                 below[p[len(path)]] += n
         step, n = max(below.items(), key=lambda x: (x[1], x[0]), default=("", 0))
-        if n < 0.6 * total or re.split(r"[.@]", step)[0] in ("p", "ul", "ol", "li", "table", "tr", "td", "blockquote", "h1", "h2", "h3"):
+        if not below or n < 0.6 * total or re.split(r"[.@]", step)[0] in ("p", "ul", "ol", "li", "table", "tr", "td", "blockquote", "h1", "h2", "h3"):
             return list(path), fixed
         path = (*path, step)
 

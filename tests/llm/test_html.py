@@ -86,3 +86,17 @@ def test_noise_words():
     noise = ["nav", "div.ad", "div.side-bar.widget", "div@navigation", "section.comments", "article.comment", "div.cookie-notice"]
     assert all(map(html_extract.is_noise, noise))
     assert not any(map(html_extract.is_noise, ["div.content", "article.related", "body.menu", "div.has-sidebar", "div.readable"]))
+
+
+@pytest.mark.parametrize(
+    "page", ["<html><body></body></html>", "<html><body><nav>Home</nav></body></html>", "<form><input>Log in</form>", "<article></article>", "<p> <br></p>"]
+)
+def test_pages_without_a_countable_text_end(page):
+    assert read_wrapper([tokens(page)])[1] == []
+    assert extract(tokens(page), None) == extract(tokens(page), (["html", "main"], [])) == ""
+
+
+def test_a_host_of_identical_pages_ends():
+    page = tokens("<html><body><nav>Home</nav><div><p>one</p><p>two</p></div></body></html>")
+    path, fixed = read_wrapper([page] * 4)
+    assert extract(page, (path, fixed)) in ("", "one\n\ntwo")
