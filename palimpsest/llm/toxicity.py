@@ -1,21 +1,23 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows, as many of each label. The terms
-are the words whose presence differs most between the labels in that sample (by
-chi-square); how often they occur is counted over all documents. The index over
-the examples is inverted: for each term its postings, cut into blocks of
-examples, and for each block the largest weight. A query takes the blocks in
-order of their upper bound and stops once the bound of the next is below the
-k-th best cosine, so the neighbours are exact. Neighbours vote with weights that
-fall with distance; votes are set back to the labels' true shares and smoothed,
-and an isotonic fit over the examples' own votes, each left out in turn,
-calibrates the score. The neighbours are returned as evidence.
+are all words of that sample; how often they occur is counted over all
+documents. Each term's weight is its TF-IDF times the root of one plus its
+chi-square between the labels of the sample: a word that tells nothing counts as
+in plain TF-IDF, and no word is left out. The index over the examples is
+inverted: light terms have postings, those of at least an eighth of the examples
+a row each, cut into blocks of examples, with the largest weight of each block.
+A query sums its light terms exactly and takes the blocks in order of their
+upper bound; blocks whose bound is below the k-th best cosine are not read, so
+the neighbours are exact. Neighbours vote with weights that fall with distance;
+votes are set back to the labels' true shares and smoothed, and an isotonic fit
+over the examples' own votes, each left out in turn, calibrates the score. The
+neighbours are returned as evidence.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,9 +31,9 @@ from palimpsest.llm.quality import held_out, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
 MOST_EXAMPLES = 4_000
-MOST_TERMS = 256
-LEAST_CHI2 = 24.0
 BLOCK = 64
+HEAVY = 8  # terms of one in so many examples have a row, not postings
+MOST_KNOWN = 10_000
 
 
 def words_of(text: str) -> Counter:
@@ -39,11 +41,7 @@ def words_of(text: str) -> Counter:
 
 
 def term_counts(docs: DataFrame, terms: list[str] | None) -> DataFrame:
-    """``_id`` with the places and counts of the terms in each text; if terms is None, all words and a sketch of them.
-
-    The sketch is made of the two least hashes of long words, so that near copies
-    mostly share it.
-    """
+    """``_id`` with the places and counts of the terms in each text; if terms is None, with all words."""
     places = None if terms is None else {t: i for i, t in enumerate(terms)}
     id_type = docs.schema["_id"].dataType.simpleString()
 
@@ -53,9 +51,7 @@ def term_counts(docs: DataFrame, terms: list[str] | None) -> DataFrame:
                 texts = [utf8(x) for x in batch.column("_text").to_pylist()]
                 if places is None:
                     words = [list(words_of(t)) for t in texts]
-                    sketch = [str(sorted(zlib.crc32(w.encode()) for w in x if len(w) > 7)[:2] or sorted(x)) for x in words]
-                    columns = [batch.column("_id"), pa.array(words, pa.list_(pa.string())), pa.array(sketch, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["_id", "words", "sketch"])
+                    yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(words, pa.list_(pa.string()))], names=["_id", "words"])
                     continue
                 found = [sorted((p, n) for w, n in words_of(t).items() if (p := places.get(w)) is not None) for t in texts]
                 yield pa.RecordBatch.from_arrays(
@@ -67,28 +63,26 @@ def term_counts(docs: DataFrame, terms: list[str] | None) -> DataFrame:
                     names=["_id", "terms", "counts"],
                 )
 
-    schema = "words array<string>, sketch string" if places is None else "terms array<int>, counts array<int>"
+    schema = "words array<string>" if places is None else "terms array<int>, counts array<int>"
     return docs.select("_id", binary_text(F.col("_text")).alias("_text")).mapInArrow(work, f"_id {id_type}, {schema}")
 
 
-def choose_terms(docs: DataFrame, sample: DataFrame) -> list[str]:
-    """The words that tell the labels apart in the sample, the most telling first; near copies count once."""
+def sample_terms(docs: DataFrame, sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words of the sample, and the chi-square of each between the labels."""
     chosen = docs.join(F.broadcast(sample), F.col("_id") == F.col("_label_id"))
     words = term_counts(chosen.select(F.struct("_id", "_label").alias("_id"), "_text"), None)
-    words = words.select(F.col("_id._label").alias("y"), "sketch", "words")  # of a bounded sample
-    words = materialize(words.groupBy("y", "sketch").agg(F.min("words").alias("words")))
-    sizes = {r["y"]: r["count"] for r in words.groupBy("y").count().collect()}
-    counts = words.select("y", F.explode("words").alias("w")).groupBy("w").agg(
-        F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b")
-    )
+    # of a bounded sample; rows that repeat an id count once
+    words = words.select("_id", F.explode("words").alias("w")).distinct()
+    counts = words.groupBy("w").agg(F.sum("_id._label").cast("double").alias("a"), F.count("*").cast("double").alias("n")).toArrow().sort_by("w")
+    sizes = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
     na, nb = float(max(1, sizes.get(1, 0))), float(max(1, sizes.get(0, 0)))
-    a, b, n = F.col("a"), F.col("b"), F.lit(na + nb)
-    chi2 = n * F.pow(a * (nb - b) - b * (na - a), F.lit(2.0)) / ((a + b) * F.greatest(n - a - b, F.lit(1.0)) * na * nb)
-    best = counts.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (a + b >= 5))
-    return [r["w"] for r in best.orderBy(F.col("chi2").desc(), "w").limit(MOST_TERMS).collect()]
+    a, seen = (counts.column(c).to_numpy() for c in ("a", "n"))
+    b, n = seen - a, na + nb
+    chi2 = n * (a * (nb - b) - b * (na - a)) ** 2 / (seen * np.maximum(n - seen, 1) * na * nb)
+    return counts.column("w").to_pylist(), chi2
 
 
-def document_counts(found: DataFrame, terms: int) -> dict[int, int]:
+def document_counts(found: DataFrame, terms: int) -> np.ndarray:
     """In how many texts each term occurs, summed in each partition before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +93,10 @@ def document_counts(found: DataFrame, terms: int) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["t", "n"])
 
     sums = found.select("terms").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    return {r["t"]: r["n"] for r in sums.collect()}  # one for each term
+    sums = sums.toArrow()  # one row for each term at most
+    seen = np.zeros(terms, np.int64)
+    seen[sums.column("t").to_numpy()] = sums.column("n").to_numpy()
+    return seen
 
 
 class BlockMaxIndex:
@@ -112,44 +109,63 @@ class BlockMaxIndex:
         self.ids, self.labels = ids[order], labels[order]
         self.vectors = [vectors[i] for i in order]
         self.blocks = max(1, -(-len(order) // BLOCK))
-        self.bounds = np.zeros((terms, self.blocks))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for row, (t, w) in enumerate(self.vectors):
-            np.maximum.at(self.bounds[:, row // BLOCK], t, w)
-            for place, weight in zip(t.tolist(), w.tolist(), strict=True):
-                postings[place].append((row, weight))
-        self.rows = [np.array([r for r, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.starts = np.array([np.searchsorted(r // BLOCK, np.arange(self.blocks + 1)) for r in self.rows]).reshape(terms, self.blocks + 1)
+        rows = np.repeat(np.arange(len(order)), [len(t) for t, _ in self.vectors])
+        places = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.vectors)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
+        heavy = np.bincount(places, minlength=terms) * HEAVY > max(len(order), BLOCK)
+        self.row_of = np.where(heavy, np.cumsum(heavy) - 1, -1)
+        own = heavy[places]
+        self.dense = np.zeros((int(heavy.sum()), self.blocks * BLOCK))
+        self.dense[self.row_of[places[own]], rows[own]] = weights[own]
+        self.dense = self.dense.reshape(-1, self.blocks, BLOCK)
+        self.bounds = self.dense.max(axis=2, initial=0)
+        by_term = np.argsort(places[~own], kind="stable")
+        self.rows, self.weights = rows[~own][by_term], weights[~own][by_term]
+        self.starts = np.searchsorted(places[~own][by_term], np.arange(terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, ties by place."""
-        bound = weights @ self.bounds[terms] if len(terms) else np.zeros(self.blocks)
-        best = np.zeros(0), np.zeros(0, np.int64)
-        for block in np.argsort(-bound, kind="stable"):
-            # below the k-th best, even with rounding, no example of this block or of a later one can enter
-            if bound[block] <= 0 or len(best[0]) == k and bound[block] < best[0][-1] - 1e-9:
-                break
-            cosine = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, b = self.starts[t, block], self.starts[t, block + 1]
-                cosine[self.rows[t][a:b] - block * BLOCK] += w * self.weights[t][a:b]
-            if 0 <= without - block * BLOCK < BLOCK:
-                cosine[without - block * BLOCK] = 0
-            at = np.flatnonzero(cosine > 0)
-            all_cosines = np.concatenate([best[0], cosine[at]])
-            all_rows = np.concatenate([best[1], at + block * BLOCK])
-            top = np.lexsort((all_rows, -np.round(all_cosines, 9)))[:k]
-            best = all_cosines[top], all_rows[top]
-        return best[1], best[0]
+        row = self.row_of[terms]
+        heavy, heavy_weights = row[row >= 0], weights[row >= 0]
+        light = terms[row < 0]
+        at, sizes = self.starts[light], self.starts[light + 1] - self.starts[light]
+        ends = np.cumsum(sizes)
+        at = np.repeat(at - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        cosine = np.bincount(self.rows[at], np.repeat(weights[row < 0], sizes) * self.weights[at], self.blocks * BLOCK)
+        cosine = cosine.astype(np.float64).reshape(self.blocks, BLOCK)
+        if without >= 0:
+            cosine[without // BLOCK, without % BLOCK] = -np.inf
+        bound = cosine.max(axis=1) + heavy_weights @ self.bounds[heavy]
+        order = np.argsort(-bound, kind="stable")
+        first = max(2, -(-2 * k // BLOCK))
+        read = order[:first]
+        if len(heavy):
+            cosine[read] += np.tensordot(heavy_weights, self.dense[heavy[:, None], read], 1)
+            best = np.sort(cosine[read], axis=None)[::-1][k - 1 : k]
+            # below the k-th best, even with rounding, no example of a block can enter
+            rest = order[first:]
+            rest = rest[bound[rest] >= (max(best[0], 0) if len(best) else 0) - 1e-8]
+            if len(rest):
+                cosine[rest] += np.tensordot(heavy_weights, self.dense[heavy[:, None], rest], 1)
+            read = np.concatenate([read, rest])
+        else:
+            read = order
+        rows = (read[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        cosines = cosine[read].ravel()
+        keep = cosines > 0
+        if keep.sum() > k:
+            keep &= cosines >= np.partition(cosines, -k)[-k] - 1e-8
+        rows, cosines = rows[keep], cosines[keep]
+        top = np.lexsort((rows, -np.round(cosines, 9)))[:k]
+        return rows[top], cosines[top]
 
 
 class ToxicityModel:
-    """Terms, their weights, the index, and the calibration of the votes."""
+    """The weights of terms, the index, and the calibration of the votes."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, k: int, share: float):
-        self.terms, self.idf, self.k, self.share = terms, idf, k, share
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
+    def __init__(self, idf: np.ndarray, k: int, share: float):
+        self.idf, self.k, self.share = idf, k, share
+        self.known: dict[bytes, tuple[float, list[int]]] = {}
 
     def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(terms, np.int64)
@@ -162,7 +178,7 @@ class ToxicityModel:
         ones = max(1, int(labels.sum()))
         #: how much an example of each label stands for, so that votes follow the labels' true shares
         self.stand = np.array([(1 - self.share) * len(rows) / max(1, len(rows) - ones), self.share * len(rows) / ones])
-        self.index = BlockMaxIndex(np.array([r[0] for r in rows], np.int64), labels, [self.vector(r[2], r[3]) for r in rows], len(self.terms))
+        self.index = BlockMaxIndex(np.array([r[0] for r in rows], np.int64), labels, [self.vector(r[2], r[3]) for r in rows], len(self.idf))
         empty = [y for (t, _), y in zip(self.index.vectors, self.index.labels.tolist(), strict=True) if not len(t)]
         weight = np.bincount(empty, minlength=2)[:2] * self.stand
         #: without a term no example is nearer than another; those without a term vote
@@ -171,6 +187,7 @@ class ToxicityModel:
         votes = [self.vote(t, w, row)[0] for row, (t, w) in enumerate(self.index.vectors)]
         if len(rows) and 0 < labels.sum() < len(rows):
             self.x, self.y = isotonic(np.array(votes), self.index.labels, self.stand[self.index.labels])
+        self.index.vectors = []  # not sent to executors
         return self
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
@@ -181,12 +198,12 @@ class ToxicityModel:
         near = self.stand[labels] / (1.05 - np.minimum(cosines, 1))
         return float((near[labels == 1].sum() + self.share) / (near.sum() + 1)), rows
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         """The calibrated score, and the ids of the neighbours."""
-        key = (*terms, -1, *counts)
+        key = np.concatenate([terms, counts]).tobytes()
         if key not in self.known:
             vote, rows = self.vote(*self.vector(terms, counts))
-            if len(self.known) >= 100_000:
+            if len(self.known) >= MOST_KNOWN:
                 self.known.clear()
             self.known[key] = float(np.clip(np.interp(vote, self.x, self.y), 0, 1)), self.index.ids[rows].tolist()
         return self.known[key]
@@ -213,9 +230,9 @@ def classify_toxicity(
 ) -> DataFrame:
     """Return id, held_out, score, predicted and the neighbours' ids as evidence for every row.
 
-    Labels of held-out rows are not learnt from. A text without any of the terms,
+    Labels of held-out rows are not learnt from. A text without any word of the examples,
     a null or empty one among them, gets the share of toxic ones among examples
-    without terms. Repeated rows and null ids are scored like any other; without
+    without words. Repeated rows and null ids are scored like any other; without
     labels all scores are 0.5; an empty table gives an empty result. Other
     columns are not read.
     """
@@ -232,20 +249,21 @@ def classify_toxicity(
     id_type = docs.schema[id_col].dataType.simpleString()
     sample = docs.sparkSession.createDataFrame(chosen, f"_label_id {id_type}, _label int")
     share = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
-    terms = choose_terms(own, sample)
+    terms, chi2 = sample_terms(own, sample)
     found = materialize(term_counts(own, terms))
     n = found.count()
     seen = document_counts(found, len(terms))
-    idf = np.array([np.log((1 + n) / (1 + seen.get(i, 0))) + 1 for i in range(len(terms))])
+    idf = np.log((1 + n) / (1 + seen)) + 1
     joined = found.join(F.broadcast(sample), F.col("_id") == F.col("_label_id"))
     # one row for each example, whatever the number of documents with its id
     examples = joined.groupBy("_id").agg(F.min(F.struct("_label", "terms", "counts")).alias("r")).select("_id", "r.*")
-    model = ToxicityModel(terms, idf, k, share).fit(sorted(tuple(r) for r in examples.collect()))
+    model = ToxicityModel(idf * np.sqrt(1 + chi2), k, share).fit(sorted(tuple(r) for r in examples.collect()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)
-            scored = [model.score(t, c) for t, c in pairs]
+            cuts = np.cumsum(batch.column("terms").value_lengths().to_numpy())[:-1]
+            pairs = (np.split(batch.column(c).flatten().to_numpy(), cuts) for c in ("terms", "counts"))
+            scored = [model.score(t, c) for t, c in zip(*pairs, strict=True)][: batch.num_rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"),

@@ -103,3 +103,20 @@ def test_isotonic_rises_and_keeps_the_mean():
     values, fitted = isotonic(x, y, np.ones(300))
     assert (np.diff(fitted) > 0).all() and 0 <= fitted[0] and fitted[-1] <= 1
     assert abs(np.interp(x, values, (fitted - 0.02 * values) / 0.98).mean() - y.mean()) < 1e-9
+
+
+def test_toxic_documents_with_rare_telling_words_have_neighbours(spark):
+    """Each telling word is in about one toxic example in fifty, below any border of significance."""
+    rng = np.random.default_rng(5)
+    common = [f"w{'abcdefghij'[k]}" for k in range(10)]
+    telling = ["t" + "".join(chr(97 + int(c)) for c in f"{k:02d}") for k in range(50)]
+    docs = []
+    for i in range(600):
+        words = rng.choice(common, 8).tolist() + (rng.choice(telling, 2).tolist() if i % 2 else [])
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    got = classify_toxicity(df, labels).where("held_out").collect()
+    assert len(got) > 80 and all(r.evidence for r in got)
+    y, s = np.array([r.doc_id % 2 for r in got]), np.array([r.score for r in got])
+    assert auc(y, s) > 0.9
