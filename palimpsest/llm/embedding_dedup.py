@@ -2,8 +2,11 @@
 
 Each pass draws its own random hyperplanes, writes a vector's signs as one
 64-bit key, sorts all vectors by it and compares each with the ``window``
-vectors before it in that order. Pairs whose cosine reaches the threshold are
-links; the links of all passes together give the components. A pass emits, for
+vectors before it in that order; the rows at the borders of partitions are
+compared once more, all in one order, so that no window ends at a border. The
+number of passes grows with the number of different vectors. Pairs whose
+cosine reaches the threshold are links; the links of all passes together give
+the components. A pass emits, for
 each vector, a link to one partner and a link for each two groups that prove to
 be one, and so at most two rows for each vector, never the pairs of a group.
 
@@ -27,6 +30,12 @@ from palimpsest.llm._common import materialize
 from palimpsest.llm.components import connected_components
 
 KEY_BITS = 64
+LEAST_PASSES, PASSES_UP_TO = 16, 100_000
+
+
+def passes_for(vectors: int) -> int:
+    """So many passes that a pair at the threshold stays as likely to be found, as its chance in one pass falls with the fourth root."""
+    return max(LEAST_PASSES, int(np.ceil(LEAST_PASSES * (vectors / PASSES_UP_TO) ** 0.25)))
 
 
 def unit_vectors(column: pa.Array, size: int) -> np.ndarray:
@@ -109,6 +118,7 @@ def sorted_passes(vectors: DataFrame, numbers: range, seed: int, window: int, le
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, forest = None, None
+        head = tail = None  # the first and the last rows of the partition
         for batch in batches:
             links: list[tuple[int, int]] = []
             number, size, node = (batch.column(c).to_numpy() for c in ("pass", "size", "node"))
@@ -116,17 +126,40 @@ def sorted_passes(vectors: DataFrame, numbers: range, seed: int, window: int, le
                 if (number[a], size[a]) != last:
                     last, forest = (number[a], size[a]), WindowForest(window, least, int(size[a]))
                 links += forest.add(unit_vectors(batch.column("embedding").slice(a, b - a), int(size[a])), node[a:b])
+            rows = pa.Table.from_batches([batch])
+            head = rows.slice(0, 0) if head is None else head
+            tail = rows.slice(0, 0) if tail is None else tail
+            more = min(window - len(head), len(rows))
+            head = pa.concat_tables([head, rows.slice(0, more)])
+            tail = pa.concat_tables([tail, rows.slice(more)])
+            tail = tail.slice(max(0, len(tail) - window)).combine_chunks()
             ends = np.array(links, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
+            empty = [pa.nulls(len(ends), batch.schema.field(c).type) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy()), *empty], names=["a", "b", *names])
+        if head is not None:
+            for batch in pa.concat_tables([head, tail]).combine_chunks().to_batches():
+                none = pa.nulls(batch.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *(batch.column(c) for c in names)], names=["a", "b", *names])
 
+    names = ["pass", "size", "key", "node", "embedding"]
     kind = vectors.schema["embedding"].dataType.simpleString()
-    return (
+    columns = f"pass int, size int, key long, node long, embedding {kind}"
+    found = materialize(
         vectors.select("node", "size", "embedding")
-        .mapInArrow(keys, f"pass int, size int, key long, node long, embedding {kind}")
+        .mapInArrow(keys, columns)
         .repartitionByRange("pass", "size", "key", "node")
         .sortWithinPartitions("pass", "size", "key", "node")
-        .mapInArrow(compare, "a long, b long")
+        .mapInArrow(compare, f"a long, b long, {columns}")
+    )
+    # two rows of different partitions are no farther apart among the rows at borders than among all
+    across = (
+        found.where(F.col("a").isNull())
+        .select(*names)
+        .repartition("pass", "size")
+        .sortWithinPartitions("pass", "size", "key", "node")
+        .mapInArrow(compare, f"a long, b long, {columns}")
     )
+    return found.unionByName(across).where(F.col("a").isNotNull()).select("a", "b")
 
 
 def count_links(members: DataFrame, least: float, block: int) -> DataFrame:
@@ -184,7 +217,7 @@ def count_links(members: DataFrame, least: float, block: int) -> DataFrame:
 def embedding_groups(
     table: DataFrame,
     least: float = 0.9,
-    passes: int = 16,
+    passes: int | None = None,
     window: int = 64,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -197,7 +230,8 @@ def embedding_groups(
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, and neither do vectors of different lengths. Repeated
     rows link with each other; a null id is never smallest, and it is not kept;
-    an empty table gives an empty result. Other columns are not read. So many
+    an empty table gives an empty result. Other columns are not read. ``passes``
+    follows the number of different vectors unless it is given. So many
     passes share a shuffle as ``together`` says; its disk is that many vectors
     for each row.
     """
@@ -212,6 +246,8 @@ def embedding_groups(
         .select("node", "_low", "copies", F.size("_v").alias("size"), F.col("_v").alias("embedding"))
     )
     unique = materialize(unique)
+    if passes is None:
+        passes = passes_for(unique.count())
     links = None
     for first in range(0, passes, together):
         numbers = range(first, min(passes, first + together))

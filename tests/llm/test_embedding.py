@@ -1,5 +1,6 @@
 import numpy as np
 
+from palimpsest.llm import embedding_dedup
 from palimpsest.llm.embedding_dedup import embedding_groups
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node long, root long, copies long"
@@ -76,3 +77,25 @@ def test_recall_at_the_threshold(spark):
     df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], SCHEMA)
     found = embedding_groups(df).where("n_links > 0").count()
     assert found >= 0.9 * 2 * pairs
+
+
+def test_borders_of_partitions_and_sizes_lose_no_links(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(400):
+        x = rng.standard_normal(16)
+        rows += [(2 * k, 16, x.tolist()), (2 * k + 1, 16, (x + 0.1 * rng.standard_normal(16)).tolist())]
+    df = spark.createDataFrame(rows, "node long, size int, embedding array<double>")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in ("1", "100"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            links = embedding_dedup.sorted_passes(df, range(1), 20, 16, 0.9).collect()
+            found.append({frozenset(r) for r in links})
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(found[0]) > 200 and found[0] <= found[1]
+    assert [embedding_dedup.passes_for(n) for n in (0, 5_000, 100_000, 1_600_000)] == [16, 16, 16, 32]
