@@ -1,9 +1,10 @@
 """Secret scans: a worklist of layers that is unwrapped until nothing changes.
 
 The text itself is the first layer and is scanned by the base patterns. Each
-layer is then unwrapped by every decoder (URL escapes, Unicode escapes, base64,
-and gzip, zlib or bzip2 data inside base64); each result that was not seen
-before becomes a layer of its own, is scanned in the same way and goes on the
+layer is then unwrapped by every decoder (URL escapes, Unicode escapes and
+base64, also over several lines and at any place of a longer run, as all four
+offsets are read); what a decoder gives is bytes, and gzip, zlib or bzip2 data among them is unpacked until it is none. Each
+result that was not seen before becomes a layer of its own, is scanned in the same way and goes on the
 worklist. A layer keeps, for each of its characters, the span of the original
 text that it came from, so what is found in it is given by its place in the
 original text. Layers already seen are not visited again, which also ends
@@ -22,7 +23,7 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +49,13 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+# packed data, or what may be a text of the least length that is tried, in decoded bytes
+PART = re.compile(
+    rb"(?P<packed>\x1f\x8b\x08|BZh[1-9]|x[\x01\x5e\x9c\xda])"
+    rb"|(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){11,}"
+)
 STEMS = ("passw", "secret", "token", "api")
 Span = tuple[int, int, int]  # start, place of the kind, end
 
@@ -64,15 +72,26 @@ def scan(text: str) -> list[Span]:
     return sorted(found)
 
 
+Decoder = Callable[[re.Match], list]  # of first and last place in the layer and what stands for it
 Piece = tuple[str, list[int], list[int]]  # decoded text; for each character its start and end in the layer
 
 
-def _characters(data: bytes, starts: list[int], ends: list[int]) -> Piece | None:
-    """Decode UTF-8 bytes with a span for each byte into text with a span for each character."""
+def _characters(data: bytes, starts: list[int], ends: list[int], sure: bool = True) -> Piece | None:
+    """Decode bytes with a span for each into text with a span for each character, unpacked as long as they are packed.
+
+    What is not sure to be a text must be readable.
+    """
+    packed = False
+    while (inner := unpack(data)) is not None:
+        data, packed = inner, True
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
+    if (packed or not sure) and not _readable(text):
+        return None
+    if packed:
+        return text, [starts[0]] * len(text), [ends[-1]] * len(text)
     if len(text) == len(data):
         return text, starts, ends
     at, s, e = 0, [], []
@@ -104,11 +123,16 @@ def _from_unicode(m: re.Match) -> Piece | None:
             text += chr(code)
             starts.append(m.start() + one.start())
             ends.append(m.start() + one.end())
+    # codes below 256 may be the bytes of packed data
+    if text[:1] in ("\x1f", "x", "B") and len(text) > 8 and max(text) <= "\xff":
+        packed = _characters(text.encode("latin-1"), starts, ends) if unpack(text.encode("latin-1")) is not None else None
+        if packed is not None:
+            return packed
     return text, starts, ends
 
 
-def unpack(data: bytes) -> bytes | None:
-    """Unpacked gzip, zlib or bzip2 data; None if it is no such data or too large."""
+def unpack_part(data: bytes) -> tuple[bytes, int] | None:
+    """What gzip, zlib or bzip2 data at the start unpacks to, and its length; None if it is no such data or too large."""
     try:
         if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
             worker = zlib.decompressobj(47)
@@ -117,41 +141,85 @@ def unpack(data: bytes) -> bytes | None:
         else:
             return None
         out = worker.decompress(data, MOST_UNPACKED)
-        return out if worker.eof else None
+        return (out, len(data) - len(worker.unused_data)) if worker.eof else None
     except (zlib.error, OSError, EOFError, ValueError):
         return None
 
 
+def unpack(data: bytes) -> bytes | None:
+    found = unpack_part(data)
+    return None if found is None else found[0]
+
+
 def _readable(text: str) -> bool:
     return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text)
 
 
-def _from_base64(m: re.Match) -> Piece | None:
-    body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    if (packed := unpack(data)) is not None:
-        try:
-            text = packed.decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-        return (text, [m.start()] * len(text), [m.end()] * len(text)) if _readable(text) else None
-    try:
-        data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    starts = [m.start() + i * 8 // 6 for i in range(len(data))]
-    ends = [m.start() + ((i + 1) * 8 + 5) // 6 for i in range(len(data))]
-    piece = _characters(data, starts, ends)
-    return piece if piece and _readable(piece[0]) else None
+def _base64_bytes(letters: str) -> bytes:
+    body = letters.replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _parts_of(letters: str, at: list[int] | range, offset: int) -> Iterator[tuple[int, int, Piece]]:
+    """The packed and readable parts of base64 letters from an offset on: first and last letter, and text by place in the layer."""
+    data = _base64_bytes(letters[offset:])
+    starts = [offset + i * 8 // 6 for i in range(len(data))]
+    ends = [offset + ((i + 1) * 8 + 5) // 6 for i in range(len(data))]
+    done = 0
+    for m in PART.finditer(data):
+        if m.start() < done:
+            continue
+        end = m.end()
+        if m["packed"] is not None:
+            if (found := unpack_part(data[m.start() :])) is None:
+                continue
+            end = m.start() + found[1]
+        part = slice(m.start(), end)
+        piece = _characters(data[part], [at[x] for x in starts[part]], [at[x - 1] + 1 for x in ends[part]], sure=False)
+        if piece is not None:
+            done = end
+            yield starts[m.start()], ends[end - 1], piece
+
+
+def _from_letters(letters: str, at: list[int] | range, offset: int) -> list[tuple[int, int, Piece]]:
+    """What base64 letters hold, by first and last place in the layer: all of them as one text, or else parts of them."""
+    if len(letters) % 4 != 1:
+        data = _base64_bytes(letters)
+        starts = [at[i * 8 // 6] for i in range(len(data))]
+        ends = [at[((i + 1) * 8 + 5) // 6 - 1] + 1 for i in range(len(data))]
+        if (piece := _characters(data, starts, ends, sure=False)) is not None:
+            return [] if offset else [(at[0], at[-1] + 1, piece)]
+    return [(at[a], at[b - 1] + 1, piece) for a, b, piece in _parts_of(letters, at, offset)]
+
+
+def _base64_at(offset: int) -> Decoder:
+    def decode(m: re.Match) -> list[tuple[int, int, Piece]]:
+        letters = m[0].rstrip("=")
+        return _from_letters(letters, range(m.start(), m.start() + len(letters)), offset)
+
+    return decode
+
+
+def _wrapped_at(offset: int) -> Decoder:
+    def decode(m: re.Match) -> list[tuple[int, int, Piece]]:
+        at = [m.start() + k for x in LETTERS.finditer(m[0]) for k in range(*x.span())]
+        return _from_letters("".join(LETTERS.findall(m[0])), at, offset)
+
+    return decode
+
+
+def _one(decode: Callable[[re.Match], Piece | None]) -> Decoder:
+    return lambda m: [] if (piece := decode(m)) is None else [(m.start(), m.end(), piece)]
 
 
 #: what must be in a layer before a decoder looks at it, its pattern and its function
-DECODERS = (("%", URL, _from_url), ("\\", UNICODE, _from_unicode), ("", BASE64, _from_base64))
+DECODERS = (
+    ("%", URL, _one(_from_url)),
+    ("\\", UNICODE, _one(_from_unicode)),
+    *(("", BASE64, _base64_at(k)) for k in range(4)),
+    *(("\n", WRAPPED, _wrapped_at(k)) for k in range(4)),
+)
 Layer = tuple[str, list[int] | range, list[int] | range]
 
 
@@ -161,15 +229,15 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     for mark, pattern, decode in DECODERS:
         if mark not in text:
             continue
-        pieces = [(m, p) for m in pattern.finditer(text) if (p := decode(m)) is not None]
+        pieces = [p for m in pattern.finditer(text) for p in decode(m)]
         if not pieces:
             continue
         out, s, e, at = [], [], [], 0
-        for m, (inner, inner_s, inner_e) in pieces:
-            out += [text[at : m.start()], inner]
-            s += [*starts[at : m.start()], *(starts[i] for i in inner_s)]
-            e += [*ends[at : m.start()], *(ends[i - 1] for i in inner_e)]
-            at = m.end()
+        for first, last, (inner, inner_s, inner_e) in pieces:
+            out += [text[at:first], inner]
+            s += [*starts[at:first], *(starts[i] for i in inner_s)]
+            e += [*ends[at:first], *(ends[i - 1] for i in inner_e)]
+            at = last
         yield "".join([*out, text[at:]]), [*s, *starts[at:]], [*e, *ends[at:]]
 
 

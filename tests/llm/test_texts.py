@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import re
 import urllib.parse
+import zlib
 
 import public_tokenizers
 import pytest
@@ -105,3 +106,28 @@ def test_clean_text_has_no_spans(spark):
         base, spans = find_secrets(r.text)
         assert base == plain_base(r.text) and set(base) <= set(spans)
         assert len(spans) == len(base) or "%" in r.text or "\\" in r.text or len(r.text) > 0
+
+
+def packed_layers():
+    raw = f"see config: {KEY} there"
+    once, b64 = gzip.compress(raw.encode()), base64.b64encode
+    letters = b64(raw.encode()).decode()
+    noise = " ".join(hashlib.sha256(bytes([k])).hexdigest()[:9] + "zz" for k in range(60))
+    lines = base64.encodebytes(gzip.compress(f"{noise} {KEY} end".encode())).decode()
+    return {
+        "gzip in gzip": b64(gzip.compress(once)).decode(), "zlib in gzip": b64(gzip.compress(zlib.compress(raw.encode()))).decode(),
+        "url gzip": "".join(f"%{b:02x}" for b in once), "escaped gzip": "".join(f"\\x{b:02x}" for b in once),
+        "path": f"https://x.org/cb/{letters}", "id": f"id_{letters}", "key": f"key-{letters}", "tail": f"{letters.rstrip('=')}/view",
+        "offset": f"ab{letters}", "far": f"x/abcdefghijklm{letters}zz/q", "two": f"{b64(once).decode().rstrip('=')}/{letters}", "lines": lines, "indented": lines.replace("\n", "\r\n  "),
+    }
+
+
+@pytest.mark.parametrize("name", packed_layers())
+def test_packed_and_misaligned_layers_are_found(name):
+    blob = packed_layers()[name]
+    text = f"é before {blob} after it"
+    hits = [x for x in find_secrets(text)[1] if x[1] == 1]
+    assert hits and all(9 <= a < b <= 9 + len(blob) for a, _, b in hits)
+    clean = redact(text, find_secrets(text)[1])
+    assert clean.startswith("é before ") and clean.endswith(" after it")
+    assert not [x for x in find_secrets(clean)[1] if x[1] == 1]
