@@ -14,8 +14,10 @@ footers, sidebars, notices, adverts, forms and comments.
 
 Every page is then read with its host's wrapper. Places that the wrapper has not
 seen are judged by their nearest known element. Hosts with one page, and pages
-without the wrapper's element, take the wrapper of the page alone. Only the
-wrapper (a path and some fixed texts) leaves the inference; wrappers are sent to
+without the wrapper's element, take the wrapper of the page alone. Texts that
+do not change only help to find that element: inside it nothing but noise is
+dropped. Copies of a page count once. Only the
+wrapper (a path) leaves the inference; wrappers are sent to
 all executors while they are fewer than ``most_sent`` hosts, and are joined by
 host beyond that.
 """
@@ -286,17 +288,22 @@ def main_part(path: tuple[str, ...]) -> int:
 
 
 def read_wrapper(streams: list[list[Token]]) -> tuple[list[str], list[str]]:
-    """The path of the element that holds the article, and the fixed texts outside of known noise, of some pages."""
+    """The path of the element that holds the article, and the texts to drop inside it (none), of some pages.
+
+    A text that stays the same from page to page counts against an element, but
+    an article may hold it too, so it is told from it by its place only.
+    """
+    streams = [s for k, s in enumerate(streams) if s not in streams[:k]]
     wrapper: list = list(streams[0])
     for stream in streams[1:]:
         wrapper = align(wrapper, stream)
     weight: Counter = Counter()
-    fixed = []
+    fixed = set()
     for path, text in slots(wrapper):
         if any(map(is_noise, path)):
             continue
         if text is not None and len(streams) > 2 and not main_part(path):
-            fixed.append(text)
+            fixed.add((path, text))
             continue
         weight[path] += 1
     # the aligned pages say how much text each changing place holds
@@ -308,7 +315,7 @@ def read_wrapper(streams: list[list[Token]]) -> tuple[list[str], list[str]]:
                 here.append(value)
             elif kind == "-":
                 del here[-1:]
-            elif not any(map(is_noise, here)) and value not in fixed:
+            elif not any(map(is_noise, here)) and (tuple(here), value) not in fixed:
                 held[tuple(here)] += len(value.split()) * (1 if tuple(here) in weight or not weight else 0.5)
     mains = Counter()
     for path, n in held.items():
@@ -325,7 +332,7 @@ def read_wrapper(streams: list[list[Token]]) -> tuple[list[str], list[str]]:
                 below[p[len(path)]] += n
         step, n = max(below.items(), key=lambda x: (x[1], x[0]), default=("", 0))
         if not below or n < 0.6 * total or re.split(r"[.@]", step)[0] in ("p", "ul", "ol", "li", "table", "tr", "td", "blockquote", "h1", "h2", "h3"):
-            return list(path), fixed
+            return list(path), []
         path = (*path, step)
 
 

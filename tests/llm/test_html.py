@@ -100,3 +100,19 @@ def test_a_host_of_identical_pages_ends():
     page = tokens("<html><body><nav>Home</nav><div><p>one</p><p>two</p></div></body></html>")
     path, fixed = read_wrapper([page] * 4)
     assert extract(page, (path, fixed)) in ("", "one\n\ntwo")
+
+
+def test_texts_that_pages_share_stay_in_the_article():
+    rng = random.Random(5)
+    pages, want = [], []
+    for k in range(6):
+        first, second = paragraphs(rng, 2)
+        body = [f"Dish {k}", "Ingredients", first, "Background", second, "All our dishes serve four."]
+        inside = f"<h2>{body[0]}</h2><h3>{body[1]}</h3><p>{html.escape(first)}</p><h3>{body[3]}</h3><p>{html.escape(second)}</p><p>{body[5]}</p>"
+        pages.append(tokens(f"<html><body><div class='top'>Our kitchen</div><div class='entry'>{inside}</div><div class='bottom'>Rights</div></body></html>"))
+        want.append("\n\n".join(body))
+    wrapper = read_wrapper(pages)
+    assert [extract(p, wrapper) for p in pages] == want
+    # copies of a page are one page, and no text of it is fixed
+    copies = read_wrapper([pages[0]] * 5)
+    assert want[0] in extract(pages[0], copies)
