@@ -116,3 +116,91 @@ def test_texts_that_pages_share_stay_in_the_article():
     # copies of a page are one page, and no text of it is fixed
     copies = read_wrapper([pages[0]] * 5)
     assert want[0] in extract(pages[0], copies)
+
+
+def of(*pages):
+    streams = [tokens(p) for p in pages]
+    wrapper = read_wrapper(streams)
+    return [extract(s, wrapper) for s in streams]
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p title=it's>First</p><p>Second that don't end</p><p>Third</p>", "First|Second that don't end|Third"),
+        ('<p class="a"">First</p><p>Second</p>', "First|Second"),
+        ("<article><p class='related-work'>One</p><div class='share-of-market'>Two</div><p class='legal'>Three</p></article>", "One|Two|Three"),
+        ("<article><header><h1>Title</h1><p>By Ann</p></header><p>Body</p></article>", "Title|By Ann|Body"),
+        ("<article><header><a href='/'>Shop</a></header><p>Body</p></article>", "Body"),
+        ("<p>One</p><iframe src='x'><p>Two</p><p>Three</p>", "One|Two|Three"),
+        ("<body><main></main><article><p>Outside</p></article></body>", "Outside"),
+        ("<form id=f><article><p>One</p><form>Send</form></article></form>", "One"),
+        ("<article><div class='ad-box'>Buy</div><p>One</p><div class='comments-section'><p>Nice</p></div></article>", "One"),
+    ],
+)
+def test_odd_pages(page, want):
+    assert of(page) == [want.replace("|", "\n\n")]
+
+
+def boxes(k, story):
+    """No <article>, no telling class: only alignment tells the long box that never changes from the short one that does."""
+    rules = "".join(f"<p>{x}</p>" for x in ("We send what you order within two days of your order", "Read all of the rules of our house before you order"))
+    return f"<html><body><div class=a>{rules}</div><div class=b><h2>Story {k}</h2><p>{story}</p><p>Read more</p></div><div class=c>All of it is ours</div></body></html>"
+
+
+def test_boxes_that_never_change_fall_out(monkeypatch):
+    pages = [boxes(k, s) for k, s in enumerate(("A cat sat", "Rain fell here", "He ran off"))]
+    want = [f"Story {k}\n\n{s}\n\nRead more" for k, s in enumerate(("A cat sat", "Rain fell here", "He ran off"))]
+    assert of(*pages) == want
+    assert of(pages[0]) != want[:1]  # a page alone does not tell
+    monkeypatch.setattr(html_extract, "fold", lambda a, b: a)
+    assert of(*pages) != want
+
+
+def test_fixed_boxes_inside_an_article_fall_out():
+    pages = [f"<article><h1>T{k}</h1><p>Some text {k}</p><div class=x><p>Tell your friends</p></div><p>More {k}</p></article>" for k in range(3)]
+    assert of(*pages) == [f"T{k}\n\nSome text {k}\n\nMore {k}" for k in range(3)]
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randrange(0, 6 if depth else 4)):
+        if rng.random() < 0.3:
+            out.append(rng.choice(["foo", "bar baz", f"x{rng.randrange(1000)}"]))
+        else:
+            tag = rng.choice(["div", "p", "ul", "li", "h2", "section", "article", "div class=a", "div class='a b'", "div class=ad", "dt", "dd"])
+            out.append(f"<{tag}>{random_page(rng, depth + 1) if depth < 3 else 'zz'}" + (f"</{tag.split()[0]}>" if rng.random() < 0.95 else ""))
+    return "".join(out)
+
+
+def test_random_pages_give_texts_of_their_own_in_order():
+    rng = random.Random(8)
+    for _ in range(400):
+        streams = [tokens(random_page(rng)) for _ in range(rng.randrange(2, 7))]
+        items = html_extract.as_items(streams[0], 0)
+        for k, s in enumerate(streams[1:], 1):
+            items = html_extract.fold(items, html_extract.as_items(s, k))
+        for s in streams:
+            texts = iter([v for kind, v in s if kind == "t"])
+            assert all(any(x == y for y in texts) for x in html_extract.Wrapper(items).article(s))
+
+
+def test_partitions_do_not_matter(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        host = "hot" if i % 3 else f"h{i % 7}"
+        page = boxes(i, " ".join(rng.choice(["cat", "dog", "hen"]) for _ in range(rng.randrange(3, 20))))
+        rows.append((i, f"http://{host}/{i}", page, None, 1, "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = [{r.page_id: r.text for r in extract_pages(df.repartition(n), most_sent=most).collect()} for n, most in ((1, 1 << 20), (7, 1), (40, 1 << 20))]
+    assert found[0] == found[1] == found[2]
+    assert all(found[0][i].startswith(f"Story {i}\n\n") and found[0][i].endswith("\n\nRead more") for i in range(300))
+
+
+def test_the_query_goes_through_wrappers(spark, monkeypatch):
+    """Wrappers of the whole table give another result if alignment is switched off."""
+    pages = [(k, "http://one/x", boxes(k, "short"), None, 1, "x") for k in range(5)]
+    items = [html_extract.as_items(tokens(p[2]), p[0]) for p in pages]
+    whole = html_extract.infer_wrappers(spark.createDataFrame([("one", p[2].encode()) for p in pages], "_host string, html binary")).collect()
+    assert len(whole) == 1 and whole[0]["wrapper"] != html_extract.json.dumps(items[0])
