@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from palimpsest.llm._common import binary_text, materialize, slices_by_bytes, utf8
+from palimpsest.llm._common import binary_text, slices_by_bytes, utf8
 from palimpsest.llm.quality import held_out, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,37 +41,30 @@ def words_of(text: str) -> Counter:
     return Counter(WORD.findall(text.lower()))
 
 
-def term_counts(docs: DataFrame, terms: list[str] | None) -> DataFrame:
-    """``_id`` with the places and counts of the terms in each text; if terms is None, with all words."""
-    places = None if terms is None else {t: i for i, t in enumerate(terms)}
+def found_terms(text: bytes | None, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts of the terms in a text, by place."""
+    found = sorted((p, n) for w, n in words_of(utf8(text)).items() if (p := places.get(w)) is not None)
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def words_in(docs: DataFrame) -> DataFrame:
+    """``_id`` with the different words of each text."""
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices_by_bytes(whole, "_text", 1 << 22):
-                texts = [utf8(x) for x in batch.column("_text").to_pylist()]
-                if places is None:
-                    words = [list(words_of(t)) for t in texts]
-                    yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(words, pa.list_(pa.string()))], names=["_id", "words"])
-                    continue
-                found = [sorted((p, n) for w, n in words_of(t).items() if (p := places.get(w)) is not None) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("_id"),
-                        pa.array([[p for p, _ in x] for x in found], pa.list_(pa.int32())),
-                        pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32())),
-                    ],
-                    names=["_id", "terms", "counts"],
-                )
+                words = [list(words_of(utf8(x))) for x in batch.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(words, pa.list_(pa.string()))], names=["_id", "words"])
 
-    schema = "words array<string>" if places is None else "terms array<int>, counts array<int>"
-    return docs.select("_id", binary_text(F.col("_text")).alias("_text")).mapInArrow(work, f"_id {id_type}, {schema}")
+    return docs.select("_id", binary_text(F.col("_text")).alias("_text")).mapInArrow(work, f"_id {id_type}, words array<string>")
 
 
 def sample_terms(docs: DataFrame, sample: DataFrame) -> tuple[list[str], np.ndarray]:
     """All words of the sample, and the chi-square of each between the labels."""
     chosen = docs.join(F.broadcast(sample), F.col("_id") == F.col("_label_id"))
-    words = term_counts(chosen.select(F.struct("_id", "_label").alias("_id"), "_text"), None)
+    words = words_in(chosen.select(F.struct("_id", "_label").alias("_id"), "_text"))
     # of a bounded sample; rows that repeat an id count once
     words = words.select("_id", F.explode("words").alias("w")).distinct()
     counts = words.groupBy("w").agg(F.sum("_id._label").cast("double").alias("a"), F.count("*").cast("double").alias("n")).toArrow().sort_by("w")
@@ -82,21 +76,28 @@ def sample_terms(docs: DataFrame, sample: DataFrame) -> tuple[list[str], np.ndar
     return counts.column("w").to_pylist(), chi2
 
 
-def document_counts(found: DataFrame, terms: int) -> np.ndarray:
-    """In how many texts each term occurs, summed in each partition before anything is shuffled."""
+def document_counts(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """The number of texts, and in how many each term occurs, summed in each partition before anything is shuffled."""
+    places = {t: i for i, t in enumerate(terms)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(terms, np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=terms)[:terms]
+        total = np.zeros(len(places) + 1, np.int64)  # the last one counts texts
+        for whole in batches:
+            for batch in slices_by_bytes(whole, "_text", 1 << 22):
+                for raw in batch.column("_text").to_pylist():
+                    found = set(WORD.findall(utf8(raw).lower()))
+                    at = [p for w in found if (p := places.get(w)) is not None]
+                    total[at] += 1
+                total[-1] += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["t", "n"])
 
-    sums = found.select("terms").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    texts = docs.select(binary_text(F.col("_text")).alias("_text"))
+    sums = texts.mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
     sums = sums.toArrow()  # one row for each term at most
-    seen = np.zeros(terms, np.int64)
+    seen = np.zeros(len(terms) + 1, np.int64)
     seen[sums.column("t").to_numpy()] = sums.column("n").to_numpy()
-    return seen
+    return int(seen[-1]), seen[:-1]
 
 
 class BlockMaxIndex:
@@ -165,7 +166,7 @@ class ToxicityModel:
 
     def __init__(self, idf: np.ndarray, k: int, share: float):
         self.idf, self.k, self.share = idf, k, share
-        self.known: dict[bytes, tuple[float, list[int]]] = {}
+        self.known: dict[bytes, tuple[float, list]] = {}
 
     def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(terms, np.int64)
@@ -178,7 +179,8 @@ class ToxicityModel:
         ones = max(1, int(labels.sum()))
         #: how much an example of each label stands for, so that votes follow the labels' true shares
         self.stand = np.array([(1 - self.share) * len(rows) / max(1, len(rows) - ones), self.share * len(rows) / ones])
-        self.index = BlockMaxIndex(np.array([r[0] for r in rows], np.int64), labels, [self.vector(r[2], r[3]) for r in rows], len(self.idf))
+        ids = np.array([r[0] for r in rows], object)
+        self.index = BlockMaxIndex(ids, labels, [self.vector(r[2], r[3]) for r in rows], len(self.idf))
         empty = [y for (t, _), y in zip(self.index.vectors, self.index.labels.tolist(), strict=True) if not len(t)]
         weight = np.bincount(empty, minlength=2)[:2] * self.stand
         #: without a term no example is nearer than another; those without a term vote
@@ -198,7 +200,7 @@ class ToxicityModel:
         near = self.stand[labels] / (1.05 - np.minimum(cosines, 1))
         return float((near[labels == 1].sum() + self.share) / (near.sum() + 1)), rows
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
         """The calibrated score, and the ids of the neighbours."""
         key = np.concatenate([terms, counts]).tobytes()
         if key not in self.known:
@@ -250,30 +252,27 @@ def classify_toxicity(
     sample = docs.sparkSession.createDataFrame(chosen, f"_label_id {id_type}, _label int")
     share = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
     terms, chi2 = sample_terms(own, sample)
-    found = materialize(term_counts(own, terms))
-    n = found.count()
-    seen = document_counts(found, len(terms))
+    places = {t: i for i, t in enumerate(terms)}
+    n, seen = document_counts(own, terms)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    joined = found.join(F.broadcast(sample), F.col("_id") == F.col("_label_id"))
+    joined = own.join(F.broadcast(sample), F.col("_id") == F.col("_label_id"))
     # one row for each example, whatever the number of documents with its id
-    examples = joined.groupBy("_id").agg(F.min(F.struct("_label", "terms", "counts")).alias("r")).select("_id", "r.*")
-    model = ToxicityModel(idf * np.sqrt(1 + chi2), k, share).fit(sorted(tuple(r) for r in examples.collect()))
+    examples = joined.groupBy("_id").agg(F.min(F.struct("_label", binary_text(F.col("_text")).alias("_text"))).alias("r")).select("_id", "r.*")
+    rows = sorted(((r["_id"], r["_label"], *found_terms(r["_text"], places)) for r in examples.toLocalIterator()), key=lambda r: r[0])
+    model = ToxicityModel(idf * np.sqrt(1 + chi2), k, share).fit(rows)
+    evidence_type = pa.list_(to_arrow_type(docs.schema[id_col].dataType))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts = np.cumsum(batch.column("terms").value_lengths().to_numpy())[:-1]
-            pairs = (np.split(batch.column(c).flatten().to_numpy(), cuts) for c in ("terms", "counts"))
-            scored = [model.score(t, c) for t, c in zip(*pairs, strict=True)][: batch.num_rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_id"),
-                    pa.array([s for s, _ in scored], pa.float64()),
-                    pa.array([e for _, e in scored], pa.list_(pa.int64())),
-                ],
-                names=["_id", "score", "evidence"],
-            )
-
-    return found.mapInArrow(work, f"_id {id_type}, score double, evidence array<long>").select(
+        for whole in batches:
+            for batch in slices_by_bytes(whole, "_text", 1 << 22):
+                scored = [model.score(*found_terms(x, places)) for x in batch.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id"), pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], evidence_type)],
+                    names=["_id", "score", "evidence"],
+                )
+
+    texts = own.select("_id", binary_text(F.col("_text")).alias("_text"))
+    return texts.mapInArrow(work, f"_id {id_type}, score double, evidence array<{id_type}>").select(
         F.col("_id").alias(id_col),
         held_out("_id", parts, part).alias("held_out"),
         "score",

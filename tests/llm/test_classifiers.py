@@ -120,3 +120,81 @@ def test_toxic_documents_with_rare_telling_words_have_neighbours(spark):
     assert len(got) > 80 and all(r.evidence for r in got)
     y, s = np.array([r.doc_id % 2 for r in got]), np.array([r.score for r in got])
     assert auc(y, s) > 0.9
+
+
+def plain_toxicity(docs, labels, k=25):
+    """The whole query again, with dense vectors over all words and every cosine."""
+    import re
+    import zlib
+    from collections import Counter
+
+    learnt = {i: y for i, y in sorted(labels) if zlib.crc32(str(i).encode()) % 5}
+    words = {i: Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t in docs}
+    order = sorted(learnt)
+    terms = sorted({w for i in order for w in words[i]})
+    y = np.array([learnt[i] for i in order])
+    has = np.array([[w in words[i] for w in terms] for i in order])
+    a, seen, na, n = has[y == 1].sum(0), has.sum(0), y.sum(), len(y)
+    b, nb = seen - a, n - y.sum()
+    chi2 = n * (a * (nb - b) - b * (na - a)) ** 2 / (seen * np.maximum(n - seen, 1) * na * nb)
+    df = np.array([sum(w in x for x in words.values()) for w in terms])
+    weight = (np.log((1 + len(docs)) / (1 + df)) + 1) * np.sqrt(1 + chi2)
+
+    def vector(i):
+        v = np.array([1 + np.log(words[i][w]) if w in words[i] else 0.0 for w in terms]) * weight
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    examples = np.array([vector(i) for i in order])
+    share = y.mean()
+    stand = np.array([(1 - share) * n / (n - na), share * n / na])
+
+    def vote(v, without=None):
+        c = examples @ v
+        if without is not None:
+            c[without] = 0
+        near = sorted(np.flatnonzero(c > 0), key=lambda r: -round(c[r], 9))
+        if len(near) > k and round(c[near[k - 1]], 9) == round(c[near[k]], 9):
+            return None, None  # which of the equal ones counts is free
+        near = near[:k]
+        w = stand[y[near]] / (1.05 - np.minimum(c[near], 1))
+        return (w[y[near] == 1].sum() + share) / (w.sum() + 1), {order[r] for r in near}
+
+    own = [vote(examples[r].copy(), r)[0] for r in range(n)]
+    assert None not in own
+    x, fitted = isotonic(np.array(own), y, stand[y])
+    out = {}
+    for i in words:
+        v, near = vote(vector(i))
+        if v is not None:
+            out[i] = np.clip(np.interp(v, x, fitted), 0, 1), near
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = ["w" + "".join(rng.choice(list("abcdefgh"), 3)) for _ in range(120)]
+    docs = []
+    for i in range(300):
+        own = rng.choice(words[: 80 if i % 3 else 120], rng.integers(5, 40)).tolist()
+        docs.append((i, " ".join(own)))
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 300, 2)]
+    want = plain_toxicity(docs, labels)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in classify_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert len(got) == 300 and len(want) > 250
+    for i, (score, near) in want.items():
+        assert abs(got[i].score - score) < 1e-9 and set(got[i].evidence) == near
+
+
+def test_texts_with_words_have_neighbours_and_scores_of_their_own(spark, data):
+    rows = queries.op4_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").collect()
+    with_words = [r for r in rows if any(c.isalpha() for c in r.text or "")]
+    assert sum(not r.evidence for r in with_words) <= 0.02 * len(with_words)
+    assert len({r.score for r in with_words}) > 0.5 * len({r.text for r in with_words})
+
+
+def test_ids_may_be_strings(spark):
+    rows = [(f"d{i}", "bad words here" if i % 2 else "all is well", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, toxic int")
+    got = classify_toxicity(df.drop("toxic"), df.drop("text")).collect()
+    assert all(r.predicted == int(r.doc_id[1:]) % 2 and all(e in {x[0] for x in rows} for e in r.evidence) for r in got)
