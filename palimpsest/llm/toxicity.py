@@ -17,6 +17,7 @@ neighbours are returned as evidence.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,8 @@ from palimpsest.llm.quality import held_out, labelled_sample
 WORD = re.compile(r"[^\W\d_]+")
 MOST_EXAMPLES = 4_000
 BLOCK = 64
-HEAVY = 8  # terms of one in so many examples have a row, not postings
+HEAVY = 16  # terms of one in so many examples have a row, not postings
+TOGETHER = 128  # queries that are answered at once
 MOST_KNOWN = 10_000
 
 
@@ -43,9 +45,12 @@ def words_of(text: str) -> Counter:
 
 def found_terms(text: bytes | None, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Places and counts of the terms in a text, by place."""
-    found = sorted((p, n) for w, n in words_of(utf8(text)).items() if (p := places.get(w)) is not None)
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    words = words_of(utf8(text))
+    known = words.keys() & places.keys()
+    terms = np.fromiter(map(places.__getitem__, known), np.int64, len(known))
+    counts = np.fromiter(map(words.__getitem__, known), np.int64, len(known))
+    order = np.argsort(terms)
+    return terms[order], counts[order]
 
 
 def words_in(docs: DataFrame) -> DataFrame:
@@ -126,39 +131,52 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, ties by place."""
+        return self.nearest_of([(terms, weights)], k, np.array([without]))[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k nearest of each query; a block is read for all queries at once that its bound does not rule out."""
+        n, size = len(queries), self.blocks * BLOCK
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in queries)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in queries)])
+        query = np.repeat(np.arange(n), [len(t) for t, _ in queries])
         row = self.row_of[terms]
-        heavy, heavy_weights = row[row >= 0], weights[row >= 0]
-        light = terms[row < 0]
-        at, sizes = self.starts[light], self.starts[light + 1] - self.starts[light]
+        own = row >= 0
+        heavy = np.zeros((n, len(self.dense)))
+        heavy[query[own], row[own]] = weights[own]
+        # light terms: all postings of all queries, one after the other
+        at, sizes = self.starts[terms[~own]], self.starts[terms[~own] + 1] - self.starts[terms[~own]]
         ends = np.cumsum(sizes)
         at = np.repeat(at - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        cosine = np.bincount(self.rows[at], np.repeat(weights[row < 0], sizes) * self.weights[at], self.blocks * BLOCK)
-        cosine = cosine.astype(np.float64).reshape(self.blocks, BLOCK)
-        if without >= 0:
-            cosine[without // BLOCK, without % BLOCK] = -np.inf
-        bound = cosine.max(axis=1) + heavy_weights @ self.bounds[heavy]
-        order = np.argsort(-bound, kind="stable")
-        first = max(2, -(-2 * k // BLOCK))
-        read = order[:first]
-        if len(heavy):
-            cosine[read] += np.tensordot(heavy_weights, self.dense[heavy[:, None], read], 1)
-            best = np.sort(cosine[read], axis=None)[::-1][k - 1 : k]
-            # below the k-th best, even with rounding, no example of a block can enter
-            rest = order[first:]
-            rest = rest[bound[rest] >= (max(best[0], 0) if len(best) else 0) - 1e-8]
-            if len(rest):
-                cosine[rest] += np.tensordot(heavy_weights, self.dense[heavy[:, None], rest], 1)
-            read = np.concatenate([read, rest])
-        else:
-            read = order
-        rows = (read[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        cosines = cosine[read].ravel()
-        keep = cosines > 0
-        if keep.sum() > k:
-            keep &= cosines >= np.partition(cosines, -k)[-k] - 1e-8
-        rows, cosines = rows[keep], cosines[keep]
-        top = np.lexsort((rows, -np.round(cosines, 9)))[:k]
-        return rows[top], cosines[top]
+        cells = np.repeat(query[~own] * size, sizes) + self.rows[at]
+        cosine = np.bincount(cells, np.repeat(weights[~own], sizes) * self.weights[at], n * size).astype(np.float64, copy=False)
+        cosine = cosine.reshape(n, self.blocks, BLOCK)
+        if without is not None:
+            out = np.flatnonzero(without >= 0)
+            cosine[out, without[out] // BLOCK, without[out] % BLOCK] = -np.inf
+        bound = cosine.max(axis=2) + heavy @ self.bounds
+        first = min(self.blocks, max(2, -(-2 * k // BLOCK)))
+        read = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(read, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        self._read(cosine, heavy, read)
+        # below the k-th best, even with rounding, no example of a block can enter
+        best = -np.partition(-np.where(read[:, :, None], cosine, -np.inf).reshape(n, size), min(k, size) - 1, axis=1)[:, min(k, size) - 1]
+        rest = ~read & (bound >= np.maximum(best, 0)[:, None] - 1e-8)
+        self._read(cosine, heavy, rest)
+        cosine[~(read | rest)] = -np.inf
+        flat = cosine.reshape(n, size)
+        least = -np.partition(-flat, min(k, size) - 1, axis=1)[:, min(k, size) - 1]
+        found = []
+        for q in range(n):
+            rows = np.flatnonzero(flat[q] >= max(least[q] - 1e-8, 1e-300))
+            top = rows[np.argsort(-np.round(flat[q, rows], 9), kind="stable")[:k]]
+            found.append((top, flat[q, top]))
+        return found
+
+    def _read(self, cosine: np.ndarray, heavy: np.ndarray, wanted: np.ndarray) -> None:
+        """Add the heavy terms' part to the cosines of the wanted blocks."""
+        for block in np.flatnonzero(wanted.any(axis=0)) if len(self.dense) else ():
+            own = np.flatnonzero(wanted[:, block])
+            cosine[own, block] += heavy[own] @ self.dense[:, block]
 
 
 class ToxicityModel:
@@ -170,7 +188,7 @@ class ToxicityModel:
 
     def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(terms, np.int64)
-        w = (1 + np.log(np.maximum(np.asarray(counts, np.float64), 1))) * self.idf[t]
+        w = (1 + np.log(np.asarray(counts, np.float64))) * self.idf[t]
         return t, w / max(np.sqrt((w**2).sum()), 1e-12)
 
     def fit(self, rows: list[tuple[int, int, list[int], list[int]]]) -> ToxicityModel:
@@ -186,29 +204,34 @@ class ToxicityModel:
         #: without a term no example is nearer than another; those without a term vote
         self.without = float((weight[1] + 2 * self.share) / (weight.sum() + 2))
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        votes = [self.vote(t, w, row)[0] for row, (t, w) in enumerate(self.index.vectors)]
+        votes = [v for v, _ in self.votes(self.index.vectors, np.arange(len(rows)))]
         if len(rows) and 0 < labels.sum() < len(rows):
             self.x, self.y = isotonic(np.array(votes), self.index.labels, self.stand[self.index.labels])
         self.index.vectors = []  # not sent to executors
         return self
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
-        rows, cosines = self.index.nearest(terms, weights, self.k, without)
-        if not len(rows):
-            return self.without, rows
-        labels = self.index.labels[rows]
-        near = self.stand[labels] / (1.05 - np.minimum(cosines, 1))
-        return float((near[labels == 1].sum() + self.share) / (near.sum() + 1)), rows
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-        """The calibrated score, and the ids of the neighbours."""
-        key = np.concatenate([terms, counts]).tobytes()
-        if key not in self.known:
-            vote, rows = self.vote(*self.vector(terms, counts))
-            if len(self.known) >= MOST_KNOWN:
-                self.known.clear()
-            self.known[key] = float(np.clip(np.interp(vote, self.x, self.y), 0, 1)), self.index.ids[rows].tolist()
-        return self.known[key]
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
+        """The vote and the neighbours of each vector."""
+        out = []
+        for at in range(0, len(vectors), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            for rows, cosines in self.index.nearest_of(vectors[part], self.k, None if without is None else without[part]):
+                labels = self.index.labels[rows]
+                near = self.stand[labels] / (1.05 - np.minimum(cosines, 1))
+                vote = float((near[labels == 1].sum() + self.share) / (near.sum() + 1)) if len(rows) else self.without
+                out.append((vote, rows))
+        return out
+
+    def scores(self, texts: list[bytes | None], places: dict[str, int]) -> list[tuple[float, list]]:
+        """The calibrated score, and the ids of the neighbours, of each text; texts met lately are not read again."""
+        keys = [hashlib.blake2b(x or b"", digest_size=16).digest() for x in texts]
+        new = {key: x for key, x in zip(keys, texts, strict=True) if key not in self.known}
+        found = dict(self.known)
+        votes = self.votes([self.vector(*found_terms(x, places)) for x in new.values()])
+        for key, (vote, rows) in zip(new, votes, strict=True):
+            found[key] = float(np.clip(np.interp(vote, self.x, self.y), 0, 1)), self.index.ids[rows].tolist()
+        self.known = {key: found[key] for key in [*self.known, *new][-MOST_KNOWN:]}
+        return [found[key] for key in keys]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,8 +287,8 @@ def classify_toxicity(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices_by_bytes(whole, "_text", 1 << 22):
-                scored = [model.score(*found_terms(x, places)) for x in batch.column("_text").to_pylist()]
+            for batch in slices_by_bytes(whole, "_text", 1 << 20):
+                scored = model.scores(batch.column("_text").to_pylist(), places)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], evidence_type)],
                     names=["_id", "score", "evidence"],
