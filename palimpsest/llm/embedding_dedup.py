@@ -2,8 +2,8 @@
 
 Each pass draws its own random hyperplanes, writes a vector's signs as one
 64-bit key, sorts all vectors by it and compares each with the ``window``
-vectors before it in that order; the rows at the borders of partitions are
-compared once more, all in one order, so that no window ends at a border. The
+vectors before it in that order; the last rows of each partition are compared
+once more with the first of the next, so that no window ends at a border. The
 number of passes grows with the number of different vectors. Pairs whose
 cosine reaches the threshold are links; the links of all passes together give
 the components. A pass emits, for
@@ -11,10 +11,15 @@ each vector, a link to one partner and a link for each two groups that prove to
 be one, and so at most two rows for each vector, never the pairs of a group.
 
 Vectors that are equal are one before the passes, with their number. After the
-passes, the links inside each component are counted exactly: a component is cut
-into blocks of at most ``block`` vectors and each pair of blocks is multiplied
-in a task of its own that returns counts. What the windows may miss are
-thus only links between vectors that no chain of found links joins.
+passes, the links inside each component are counted exactly, as windows hold a
+bounded number of neighbours and a group may be larger. With the angle of each
+vector to the component's mean, two vectors whose angles add up to no more than
+the threshold's are linked without a product; a vector that is so linked to
+all the others is counted at once. In a group of near copies that is
+all of them. Only the others, far from the mean, are
+multiplied with one another, in blocks of at most ``block`` vectors and each
+pair of blocks in a task of its own that returns counts. What the windows may
+miss are thus only links between vectors that no chain of found links joins.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm._common import materialize
@@ -31,6 +37,7 @@ from palimpsest.llm.components import connected_components
 
 KEY_BITS = 64
 LEAST_PASSES, PASSES_UP_TO = 16, 100_000
+MOST_SUMS = 50_000  # components whose sums a task holds before it hands them on
 
 
 def passes_for(vectors: int) -> int:
@@ -116,54 +123,145 @@ def sorted_passes(vectors: DataFrame, numbers: range, seed: int, window: int, le
                     names=["pass", "size", "key", "node", "embedding"],
                 )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["pass", "size", "key", "node", "embedding"]
+    ends = ["place", "rows", "last"]  # of rows at borders: the partition, its number of rows up to the window, and at which end
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    columns = f"pass int, size int, key long, node long, embedding {kind}"
+
+    def links_of(batches: Iterator[pa.RecordBatch], groups: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Each batch with the links found by its rows; windows end where a group does."""
         last, forest = None, None
-        head = tail = None  # the first and the last rows of the partition
         for batch in batches:
             links: list[tuple[int, int]] = []
-            number, size, node = (batch.column(c).to_numpy() for c in ("pass", "size", "node"))
-            for a, b in runs(number, size):
-                if (number[a], size[a]) != last:
-                    last, forest = (number[a], size[a]), WindowForest(window, least, int(size[a]))
+            own = [batch.column(c).to_numpy() for c in groups]
+            size, node = batch.column("size").to_numpy(), batch.column("node").to_numpy()
+            for a, b in runs(*own):
+                if (group := tuple(c[a] for c in own)) != last:
+                    last, forest = group, WindowForest(window, least, int(size[a]))
                 links += forest.add(unit_vectors(batch.column("embedding").slice(a, b - a), int(size[a])), node[a:b])
+            yield batch, np.array(links, np.int64).reshape(-1, 2)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = tail = None  # the first and the last rows of the partition
+        for batch, links in links_of(batches, ["pass", "size"]):
             rows = pa.Table.from_batches([batch])
-            head = rows.slice(0, 0) if head is None else head
-            tail = rows.slice(0, 0) if tail is None else tail
-            more = min(window - len(head), len(rows))
-            head = pa.concat_tables([head, rows.slice(0, more)])
-            tail = pa.concat_tables([tail, rows.slice(more)])
+            head = rows.slice(0, window) if head is None else pa.concat_tables([head, rows.slice(0, window - len(head))])
+            tail = rows if tail is None else pa.concat_tables([tail, rows])
             tail = tail.slice(max(0, len(tail) - window)).combine_chunks()
-            ends = np.array(links, np.int64).reshape(-1, 2)
-            empty = [pa.nulls(len(ends), batch.schema.field(c).type) for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy()), *empty], names=["a", "b", *names])
-        if head is not None:
-            for batch in pa.concat_tables([head, tail]).combine_chunks().to_batches():
+            empty = [pa.nulls(len(links), batch.schema.field(c).type) for c in names]
+            none = [pa.nulls(len(links), pa.int32())] * len(ends)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy()), *empty, *none], names=["a", "b", *names, *ends])
+        place = TaskContext.get().partitionId()
+        for end, rows in enumerate((head, tail)):
+            # a partition within one window has the same rows at both ends
+            for batch in rows.combine_chunks().to_batches() if rows is not None and (not end or len(head) == window) else ():
                 none = pa.nulls(batch.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *(batch.column(c) for c in names)], names=["a", "b", *names])
+                told = [pa.array(np.full(batch.num_rows, x, np.int32)) for x in (place, len(head), end)]
+                yield pa.RecordBatch.from_arrays([none, none, *(batch.column(c) for c in names), *told], names=["a", "b", *names, *ends])
+
+    def compare_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, links in links_of(batches, ["border", "pass", "size"]):
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
 
-    names = ["pass", "size", "key", "node", "embedding"]
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    columns = f"pass int, size int, key long, node long, embedding {kind}"
     found = materialize(
         vectors.select("node", "size", "embedding")
         .mapInArrow(keys, columns)
         .repartitionByRange("pass", "size", "key", "node")
         .sortWithinPartitions("pass", "size", "key", "node")
-        .mapInArrow(compare, f"a long, b long, {columns}")
+        .mapInArrow(compare, f"a long, b long, {columns}, place int, rows int, last int")
     )
-    # two rows of different partitions are no farther apart among the rows at borders than among all
+    at_ends = found.where(F.col("a").isNull())
+    # the last rows of a partition meet the first of the next one; partitions within one window do not end a border
+    full = at_ends.groupBy("place").agg(F.max((F.col("rows") == window).cast("long")).alias("_full"))  # one row for each partition
+    before = F.coalesce(F.sum("_full").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    borders = full.select(F.col("place").alias("_place"), before.alias("_before"))
     across = (
-        found.where(F.col("a").isNull())
-        .select(*names)
-        .repartition("pass", "size")
-        .sortWithinPartitions("pass", "size", "key", "node")
-        .mapInArrow(compare, f"a long, b long, {columns}")
+        at_ends.join(borders, F.col("place") == F.col("_place"))
+        .withColumn("border", F.col("_before") + F.col("last"))
+        .select("border", *names)
+        .repartition("border", "pass", "size")
+        .sortWithinPartitions("border", "pass", "size", "key", "node")
+        .mapInArrow(compare_across, "a long, b long")
     )
-    return found.unionByName(across).where(F.col("a").isNotNull()).select("a", "b")
+    return found.where(F.col("a").isNotNull()).select("a", "b").unionByName(across)
+
+
+def mean_directions(members: DataFrame) -> DataFrame:
+    """(root, mean): the sum of the unit vectors of each component, over (root, size, embedding)."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def hand_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float64()))], names=["root", "mean"])
+
+        for batch in batches:
+            root, size = batch.column("root").to_numpy(), batch.column("size").to_numpy()
+            for n in map(int, np.unique(size)):
+                at = np.flatnonzero(size == n)
+                at = at[np.argsort(root[at], kind="stable")]
+                units = unit_vectors(batch.column("embedding").take(pa.array(at)), n)
+                roots, starts = np.unique(root[at], return_index=True)
+                for r, total in zip(roots.tolist(), np.add.reduceat(units, starts, axis=0), strict=True):
+                    held[r] = held[r] + total if r in held else total
+            if len(held) > MOST_SUMS:
+                yield hand_on()
+                held.clear()
+        if held:
+            yield hand_on()
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.sum(np.stack(table.column("mean").to_pylist()), axis=0)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["root", "mean"])
+
+    found = members.select("root", "size", "embedding").mapInArrow(sums, "root long, mean array<double>")
+    # the sums of one component from all partitions meet in two rounds
+    for parts in (256, 1):
+        part = F.pmod(F.xxhash64("mean"), F.lit(parts)).alias("_part")
+        found = found.groupBy("root", part).applyInArrow(add, "root long, mean array<double>")
+    return found
+
+
+def angles(members: DataFrame) -> DataFrame:
+    """Add ``angle`` to the mean direction, over (root, node, size, copies, embedding)."""
+    columns = ["root", "node", "size", "copies", "embedding"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            out = np.zeros(batch.num_rows)
+            for n in map(int, np.unique(size)):
+                at = np.flatnonzero(size == n)
+                units = unit_vectors(batch.column("embedding").take(pa.array(at)), n)
+                mean = batch.column("mean").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                length = np.linalg.norm(mean, axis=1)
+                cosine = np.einsum("ij,ij->i", units, mean) / np.where(length > 0, length, 1)
+                out[at] = np.arccos(np.clip(cosine, -1, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out)], names=[*columns, "angle"])
+
+    joined = members.select(*columns).join(mean_directions(members).withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"))
+    kind = members.schema["embedding"].dataType.simpleString()
+    return joined.select(*columns, "mean").mapInArrow(work, f"root long, node long, size int, copies long, embedding {kind}, angle double")
 
 
 def count_links(members: DataFrame, least: float, block: int) -> DataFrame:
-    """(node, links to rows of other nodes) from (root, node, size, copies, embedding)."""
+    """(node, links to rows of other nodes) from (root, node, size, copies, embedding), which is materialised."""
+    held = materialize(angles(members))
+    most = float(np.arccos(least)) - 1e-6  # less than what rounding can turn
+    wide = held.groupBy("root").agg(F.max("angle").alias("_wide"), F.sum("copies").alias("_rows"))
+    wide = wide.withColumnRenamed("root", "_root")
+    judged = held.join(wide, F.col("root") == F.col("_root")).withColumn("_near", F.col("angle") + F.col("_wide") <= most)
+    judged = materialize(judged.drop("_root", "_wide", "angle"))
+    near = judged.where("_near").select("node", (F.col("_rows") - F.col("copies")).alias("links"))
+    far = judged.where("not _near")
+    # a far vector is linked to all near ones, and to the far ones that its products show
+    inner = judged.where("_near").groupBy("root").agg(F.sum("copies").alias("_inner")).withColumnRenamed("root", "_root")
+    sure = far.join(inner, F.col("root") == F.col("_root")).select("node", F.col("_inner").alias("links"))
+    return near.unionByName(sure).unionByName(count_products(far, least, block)).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def count_products(members: DataFrame, least: float, block: int) -> DataFrame:
+    """(node, links to rows of other nodes) from (root, node, size, copies, embedding), by products of blocks."""
     blocks = members.groupBy("root").agg(F.count("*").alias("_members")).select(
         F.col("root").alias("_root"), F.ceil(F.col("_members") / block).cast("int").alias("_blocks")
     )
@@ -222,7 +320,7 @@ def embedding_groups(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     seed: int = 20,
-    block: int = 2048,
+    block: int = 512,
     together: int = 4,
 ) -> DataFrame:
     """Return id, ``n_links``, ``component_id`` (smallest id reachable) and ``kept`` for every row.
@@ -254,7 +352,7 @@ def embedding_groups(
         found = materialize(sorted_passes(unique, numbers, seed, window, least))
         links = found if links is None else links.unionByName(found)
     labels = materialize(connected_components(links, "a", "b"))
-    members = unique.join(labels, "node")
+    members = materialize(unique.join(labels, "node"))
     lowest = members.groupBy("root").agg(F.min("_low").alias("_least"))
     counted = members.select("node", "root", "_low").join(lowest, "root").join(
         count_links(members.select("root", "node", "size", "copies", "embedding"), least, block), "node", "left"

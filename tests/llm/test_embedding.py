@@ -99,3 +99,43 @@ def test_borders_of_partitions_and_sizes_lose_no_links(spark):
             spark.conf.set(c, v)
     assert len(found[0]) > 200 and found[0] <= found[1]
     assert [embedding_dedup.passes_for(n) for n in (0, 5_000, 100_000, 1_600_000)] == [16, 16, 16, 32]
+
+
+def test_only_vectors_far_from_the_mean_are_multiplied(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, multiplied = [], []
+    for group, noise in enumerate((0.02, 0.02, 0.09)):  # the last is wider than the threshold allows
+        centre = rng.standard_normal(32)
+        centre /= np.linalg.norm(centre)
+        for _ in range(120):
+            rows.append((len(rows), (centre + (noise if len(rows) % 10 else noise / 9) * rng.standard_normal(32)).tolist()))
+    rows += [(len(rows) + k, rows[0][1]) for k in range(40)]
+    plain = embedding_dedup.count_products
+    monkeypatch.setattr(embedding_dedup, "count_products", lambda far, *a: multiplied.append(far.count()) or plain(far, *a))
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], SCHEMA.replace("float", "double")).repartition(5)
+    assert got(embedding_groups(df, block=16)) == brute(rows)
+    assert 0 < multiplied[0] <= 120
+
+
+def test_the_number_of_partitions_does_not_matter(spark):
+    """Pairs at the threshold that nothing else joins, among many others."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 32))
+    y = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = 0.905 * x + np.sqrt(1 - 0.905**2) * y
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, z]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in ("3", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append({r.vec_id for r in embedding_groups(df, passes=4).where("n_links > 0").collect()})
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert found[0] == found[1] and len(found[0]) > 2000
