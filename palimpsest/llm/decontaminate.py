@@ -1,16 +1,16 @@
 """Benchmark decontamination with a broadcast hash set of normalised word windows.
 
-The windows of all benchmark items are hashed; the set of hashes is part of the
-plan, so every executor has it. A document's words are hashed once, each window
-of its words is one hash of those, and windows whose hash is in the set are
-candidates. A candidate's words are then compared with the benchmark's, so a
-collision of hashes counts for nothing. All of it is DataFrame and SQL functions
-in one pass over the documents; what is shuffled is one small row for each
-document and hit.
-
-The set is only put into the plan while it holds at most ``most_windows``
-hashes. A larger benchmark takes the same path with all windows as candidates,
-joined with the benchmark's on the words, without a broadcast.
+The windows of all benchmark items are hashed to 64 bits. A document's words are
+hashed once, each window of its words is one hash of those, and the window
+hashes are run past the set, which every executor holds as the broadcast side of
+a semi-join. Only hits leave that join, and a hit's words are then joined with
+the benchmark's, so a collision of hashes counts for nothing. All of it is
+DataFrame and SQL functions, and nothing but hits, and one small row for each
+document, is shuffled.
+
+The set is broadcast in shards by hash, of at most about ``most_windows`` hashes
+each: a benchmark of more windows takes one pass over the documents for each
+shard, in the same way.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import UPPER, ascii_lower, free_prefix
+from palimpsest.llm._common import UPPER, ascii_lower, free_prefix, materialize
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MOST_WINDOWS = 50_000
+MOST_WINDOWS = 1_000_000  # hashes in a broadcast: some 40 bytes each
+MOST_BYTES = 64 << 20  # of the windows' words in a broadcast
+MARK = 1  # stands in a document's hashes before those of its windows
 
 
 def words_of(text: Column) -> Column:
@@ -46,38 +48,62 @@ def benchmark_windows(bench: DataFrame, size: int, id_col: str, text_col: str) -
     return keyed.withColumn("_hashes", F.expr("transform(split(_key, ' '), w -> xxhash64(w))"))
 
 
-def candidates_of(grams: DataFrame, small: bool, named: str) -> tuple[Column, list[int]]:
-    """Windows of ``_words`` that may be the benchmark's, as structs of place, length and words.
+class Windows:
+    """The benchmark's windows, materialised, with their hashes in shards that may be broadcast."""
 
-    If ``small``, those whose hash is in the set; else all. ``named`` is the
-    prefix of the columns with the words, their hashes and their number.
-    """
-    words, hashes, count = f"`{named}words`", f"`{named}hashes`", f"`{named}n`"
-    lengths = sorted(r[0] for r in grams.select("_length").distinct().collect())  # at most as many as a window has words
-    found = []
-    for length in lengths:
-        places = f"sequence(0, {count} - {length})"
-        if small:
-            own = grams.where(F.col("_length") == length).select(F.expr(_hash("_hashes", "0", length))).distinct()
-            known = ", ".join(f"{r[0]}L" if r[0] > -(1 << 63) else "(-9223372036854775807L - 1L)" for r in own.collect())
-            places = f"filter({places}, i -> {_hash(hashes, 'i', length)} in ({known}))"
-        window = f"named_struct('at', i, 'n', {length}, 'key', array_join(slice({words}, i + 1, {length}), ' '))"
-        found.append(f"if({count} >= {length}, transform({places}, i -> {window}), array())")
-    none = "filter(array(cast(null as struct<at:int,n:int,key:string>)), x -> false)"
-    return F.expr(f"concat({', '.join(found)})" if found else none), lengths
-
-
-def with_words(docs: DataFrame, text: Column, named: str) -> DataFrame:
-    """Add the words, their hashes and their number, in columns that begin with ``named``."""
-    return (
-        docs.withColumn(f"{named}words", words_of(text))
-        .withColumn(f"{named}hashes", F.expr(f"transform(`{named}words`, w -> xxhash64(w))"))
-        .withColumn(f"{named}n", F.size(f"{named}words"))
-    )
-
-
-def is_small(grams: DataFrame, most_windows: int) -> bool:
-    return grams.limit(most_windows + 1).count() <= most_windows
+    def __init__(self, bench: DataFrame, size: int, id_col: str, text_col: str, most: int):
+        self.grams = materialize(
+            benchmark_windows(bench, size, id_col, text_col).withColumn("_hash", window_hash("_hashes", "_length", size)).drop("_hashes")
+        )
+        told = self.grams.agg(
+            F.count("*").alias("n"), F.sum(F.octet_length("_key") + 16 * F.size("_items")).alias("bytes"), F.collect_set("_length").alias("lengths")
+        ).first()
+        self.lengths = sorted(told["lengths"])  # at most as many as a window has words
+        self.shards = max(1, -(-told["n"] // most))
+        self.small = self.shards == 1 and (told["bytes"] or 0) <= MOST_BYTES
+
+    def hits(self, docs: DataFrame, kept: list[str], marks: bool) -> DataFrame:
+        """``kept`` of ``docs`` (which has _words) with _at, _length and _items of each window that is the benchmark's.
+
+        With ``marks`` each row comes once more, with nulls for these.
+        """
+        hashed = docs.withColumn("_hashes", F.expr("transform(_words, w -> xxhash64(w))")).withColumn("_n", F.size("_words"))
+        first, starts = "1", []
+        for length in self.lengths:  # the windows of each length come one after the other
+            starts.append(first)
+            first = f"{first} + greatest(0, _n - {length - 1})"
+        lists = [f"if(_n >= {n}, transform(sequence(0, _n - {n}), i -> {_hash('_hashes', 'i', n)}), array())" for n in self.lengths]
+        every = hashed.select("*", F.posexplode(F.expr(f"concat({', '.join([f'array({MARK}L)', *lists])})")).alias("_place", "_h"))
+        length, at = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for n, start in zip(self.lengths, starts, strict=True):
+            here = F.col("_place") >= F.expr(start)
+            length, at = F.when(here, n).otherwise(length), F.when(here, F.col("_place") - F.expr(start)).otherwise(at)
+        found = None
+        for shard in range(self.shards):
+            own = self.grams.where(F.pmod("_hash", F.lit(self.shards)) == shard).select(F.col("_hash").alias("_known")).distinct()
+            if not shard and marks:
+                own = own.unionByName(docs.sparkSession.createDataFrame([(MARK,)], "_known long")).distinct()
+            some = every.join(F.broadcast(own), F.col("_h") == F.col("_known"), "left_semi")
+            if shard:
+                some = some.where(F.col("_place") > 0)
+            some = some.withColumn("_length", length).withColumn("_at", at)
+            some = some.select(*kept, "_place", "_at", "_length", F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_length")), " ").alias("_k"))
+            found = some if found is None else found.unionByName(some)
+        if not marks:
+            found = found.where(F.col("_place") > 0)
+        keys = self.grams.select("_key", "_items")
+        joined = found.join(F.broadcast(keys) if self.small else keys, F.col("_k") == F.col("_key"), "left")
+        true = F.col("_key").isNotNull()
+        joined = joined.where(true | (F.col("_place") == 0) if marks else true)
+        return joined.select(*kept, "_at", "_length", "_items")
+
+
+def window_hash(hashes: str, length: str, size: int) -> Column:
+    """The hash of a window of up to ``size`` words, from those of its words."""
+    out = F.lit(None).cast("long")
+    for n in range(1, size + 1):
+        out = F.when(F.col(length) == n, F.expr(_hash(hashes, "0", n))).otherwise(out)
+    return out
 
 
 def find_leaks(
@@ -99,17 +125,11 @@ def find_leaks(
     repeated rows; empty tables give no rows or no hits. Other columns are not
     read.
     """
-    grams = benchmark_windows(bench, size, item_col, item_text_col)
-    small = is_small(grams, most_windows)
-    candidates, _ = candidates_of(grams, small, "_")
-    own = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
-    base = with_words(own, F.col("_text"), "_")
-    hits = base.withColumn("_found", candidates).select("_id", "_row", "_n", F.explode_outer("_found").alias("_hit"))
-    keys = grams.select("_key", "_items")
-    # a row without a candidate gets a key of its own that no window can have
-    rows = hits.withColumn("_k", F.coalesce("_hit.key", F.concat(F.lit(" "), F.col("_row").cast("string"))))
-    joined = rows.join(F.broadcast(keys) if small else keys, F.col("_k") == F.col("_key"), "left")
-    span = F.when(F.col("_key").isNotNull(), F.expr("sequence(_hit.at, _hit.at + _hit.n - 1)"))
+    windows = Windows(bench, size, item_col, item_text_col, most_windows)
+    own = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), words_of(F.col(text_col)).alias("_words"))
+    own = own.withColumn("_n", F.size("_words"))
+    joined = windows.hits(own, ["_row", "_id", "_n"], marks=True)
+    span = F.when(F.col("_items").isNotNull(), F.expr("sequence(_at, _at + _length - 1)"))
     return (
         joined.groupBy("_row", "_id", "_n")
         .agg(
@@ -139,25 +159,17 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows, with all their columns, of which no word is inside an occurrence of a benchmark window.
 
-    Null and empty texts stay. A small benchmark needs no shuffle: candidates
-    are compared with the benchmark's words inside the row. A larger one is
-    joined on the words, with each row under its place in the input, so then
-    ``docs`` must be read in a fixed order (as files are).
+    Null and empty texts stay. Whether a row goes depends on its text alone, so
+    the digests of the texts with a hit are what leaves the first pass; the rows
+    are then joined with these, which are broadcast while they are few.
     """
-    named, columns = free_prefix(docs.columns, "_leak_"), docs.columns
-    grams = benchmark_windows(bench, size, item_col, item_text_col)
-    small = is_small(grams, most_windows)
-    candidates, lengths = candidates_of(grams, small, named)
-    if not lengths:
-        return docs
-    # exploded from an array of one, as Spark would put the whole expression into a filter on a plain column
-    base = with_words(docs, F.col(text_col), named).select("*", F.explode(F.array(candidates)).alias(f"{named}found"))
-    if small:
-        keys = ", ".join("'" + r[0] + "'" for r in grams.select("_key").collect())  # words have no quotes in them
-        return base.where(~F.expr(f"exists({named}found, h -> h.key in ({keys}))")).select(*columns)
-    rows = base.withColumn(f"{named}row", F.monotonically_increasing_id())
-    hits = rows.select(f"{named}row", F.explode(f"{named}found.key").alias("_key")).join(grams.select("_key"), "_key", "left_semi")
-    return rows.join(hits.select(f"{named}row").distinct(), f"{named}row", "left_anti").select(*columns)
+    windows = Windows(bench, size, item_col, item_text_col, most_windows)
+    named = free_prefix(docs.columns, "_leak_")
+    digest = F.sha2(F.col(text_col).cast("binary"), 256)
+    own = docs.select(digest.alias("_digest"), words_of(F.col(text_col)).alias("_words"))
+    leaks = materialize(windows.hits(own, ["_digest"], marks=False).select(F.col("_digest").alias(f"{named}digest")).distinct())
+    few = leaks.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS
+    return docs.join(F.broadcast(leaks) if few else leaks, digest == F.col(f"{named}digest"), "left_anti")
 
 
 ORACLE_SQL = f"""

@@ -5,7 +5,7 @@ import duckdb
 from cases import no_documents, odd_documents
 
 from palimpsest.llm import queries
-from palimpsest.llm.decontaminate import find_leaks
+from palimpsest.llm.decontaminate import Windows, drop_leaks, find_leaks
 
 
 def words(text):
@@ -72,3 +72,43 @@ def test_whole_table_against_sql(spark, data):
     want = con.execute(queries.oracle_sql()["op3_decontamination"]).fetchall()
     assert sorted(str(tuple(r)) for r in df.collect()) == sorted(map(str, want))
     assert df.where("contaminated").count() > 0
+
+
+def test_dropping_keeps_all_other_rows_and_columns(spark):
+    df = odd_documents(spark, TEXTS).withColumnRenamed("h", "_leak_digest").withColumnRenamed("size", "_words")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    hit = {str(r[0]) for r in find_leaks(df, bench).where("contaminated").select("doc_id").collect()}
+    rows = [r for r in df.collect() if str(r.doc_id) not in hit]
+    assert 0 < len(rows) < df.count()
+    for most in (1, 1 << 20):
+        got = drop_leaks(df, bench, most_windows=most)
+        assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, rows))
+
+
+def test_over_a_million_windows_shuffle_hits_only(spark):
+    """Windows of documents that are none of the benchmark's never reach an exchange."""
+    words = "concat_ws(' ', transform(sequence(0, 1099), k -> concat('w', cast(hash(id, k) as string))))"
+    bench = spark.range(1000).selectExpr("id as item_id", f"replace({words}, '-', 'm') as text")
+    docs = spark.range(2000, 2400).selectExpr("id as doc_id", f"replace({words}, '-', 'm') as text")
+    one = bench.limit(1).selectExpr("-1L as doc_id", "concat('before ', substring_index(text, ' ', 20), ' after') as text")
+    for most in (1 << 20, 1 << 19):
+        df = find_leaks(docs.unionByName(one), bench, most_windows=most)
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in df.collect()}
+        assert got == {**{i: (1100, 0, 0) for i in range(2000, 2400)}, -1: (22, 20, 1)}
+        held = Windows(bench, 10, "item_id", "text", most)
+        assert held.grams.count() == 1_091_000 and held.shards == -(-1_091_000 // most)
+        # exploded windows go into a broadcast semi-join without an exchange between
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        lines = plan.splitlines()
+        at = [k for k, x in enumerate(lines) if "Generate posexplode" in x]
+        assert at and all("LeftSemi" in next(x for x in reversed(lines[:k]) if "Join" in x or "Exchange" in x) for k in at)
+
+
+def test_a_hash_of_the_mark_is_no_hit(spark, monkeypatch):
+    from palimpsest.llm import decontaminate
+
+    # every window and the mark have one hash: all windows are candidates, and only equal words count
+    monkeypatch.setattr(decontaminate, "_hash", lambda array, at, length: f"{decontaminate.MARK}L + 0 * {at}")
+    df = odd_documents(spark, TEXTS)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert got(find_leaks(df, bench)) == plain([(r.doc_id, r.text) for r in df.collect()], ITEMS)
