@@ -73,7 +73,10 @@ class Windows:
             starts.append(first)
             first = f"{first} + greatest(0, _n - {length - 1})"
         lists = [f"if(_n >= {n}, transform(sequence(0, _n - {n}), i -> {_hash('_hashes', 'i', n)}), array())" for n in self.lengths]
-        every = hashed.select("*", F.posexplode(F.expr(f"concat({', '.join([f'array({MARK}L)', *lists])})")).alias("_place", "_h"))
+        # a column of its own, so that exploding it is compiled and copies the words of no window but hits; outer, as Spark
+        # would else put the whole expression into a filter (there is always a mark)
+        hashed = hashed.withColumn("_all", F.expr(f"concat({', '.join([f'array({MARK}L)', *lists])})"))
+        every = hashed.select(*dict.fromkeys([*kept, "_words", "_n"]), F.posexplode_outer("_all").alias("_place", "_h"))
         length, at = F.lit(None).cast("int"), F.lit(None).cast("int")
         for n, start in zip(self.lengths, starts, strict=True):
             here = F.col("_place") >= F.expr(start)
