@@ -19,18 +19,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only where the
-    session names none (local tests) a temporary folder is set.
+    Only a local session, where all is one machine, may name none; it gets a temporary one.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -73,15 +80,17 @@ def slices_by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[
 def numbered(df: DataFrame, group: str, spread: Column, number: str, buckets: int = 1024) -> DataFrame:
     """Add ``number``: gapless from 0 within each value of ``group``.
 
-    Rows of a group are dealt into ``buckets`` by a hash of ``spread`` and are
+    Rows of a group are dealt into ``buckets`` by a hash of ``spread`` and of
+    their place in the table, so that equal rows part too, and are
     numbered in each bucket; a table of one count for each group and bucket,
     whose size does not follow the data, gives every bucket its first number.
-    So no group ever meets in one task. ``df`` must be materialised or
-    deterministic, as it is read twice.
+    So no group ever meets in one task. ``df`` must be materialised, as it is
+    read twice in the same order.
     """
     from pyspark.sql import Window
 
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    dealt = placed.withColumn("_bucket", F.pmod(F.xxhash64(spread, "_place"), F.lit(buckets)).cast("int")).drop("_place")
     counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     first = counts.withColumn(
         "_first",

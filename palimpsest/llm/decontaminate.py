@@ -59,7 +59,7 @@ class Windows:
             F.count("*").alias("n"), F.sum(F.octet_length("_key") + 16 * F.size("_items")).alias("bytes"), F.collect_set("_length").alias("lengths")
         ).first()
         self.lengths = sorted(told["lengths"])  # at most as many as a window has words
-        self.shards = max(1, -(-told["n"] // most))
+        self.shards = max(1, -(-told["n"] // max(1, most)))
         self.small = self.shards == 1 and (told["bytes"] or 0) <= MOST_BYTES
 
     def hits(self, docs: DataFrame, kept: list[str], marks: bool) -> DataFrame:

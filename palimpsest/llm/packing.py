@@ -181,7 +181,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     table = pieces.sparkSession.createDataFrame(
         plan, "_length long, _from long, _to long, _sequence long, _copies long, _offset long"
     )
-    spread = F.struct(F.coalesce("doc_id", F.lit(-1)), "piece", "ids_crc32")
+    spread = F.struct("doc_id", "piece", "ids_crc32")
     inside = F.col("_rank") - F.col("_from")
     return (
         numbered(pieces, "length", spread, "_rank", 256)

@@ -18,19 +18,20 @@ two groups at home prove to be one, so links never outgrow the copies. Anchors
 with many at home are split into parts of at most ``part`` of them, and copies
 are streamed against these, which bounds memory.
 
-The number of anchors is fixed by the codes, so the comparisons at an anchor
-grow with the square of the number of different fingerprints, with a factor of
-about 0.0064 of all pairs at 26 copies each. For some ten million fingerprints
-and more, ``joint=2`` takes the products of two blocks' codes as anchors: two of
-the blocks together hold at most two thirds of the bits that differ, and there
-are four thousand times as many anchors, which leaves about 0.00002 of all pairs
-at some 400 copies each. The result is the same.
+Anchors are those of two blocks together (``joint=2``): two of the three blocks
+hold at most two thirds of the bits that differ, and there are 2^24 anchors for
+each pair of blocks, so that two fingerprints seldom meet without being near:
+0.0024 % of all pairs, at 411 copies each. Which anchors are a home at all is
+one bit each, 6 MB whatever the number of fingerprints; copies at other anchors
+meet nobody and are left out before anything is shuffled. With ``joint=1``
+blocks stand alone, with 26 copies and 0.64 % of all pairs. The result is the
+same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,13 @@ class CoveringCode:
         self.counts = np.array([len(x) for x in found], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
         self.patterns = np.array([p for x in found for p in x], np.uint64)
+        #: bits of a word that are no check bits, and their number for every word where they are not the highest
+        free = [i for i, s in enumerate(syndromes) if s.bit_count() > 1]
+        self.bits, self.low = len(free), free[0]
+        self.table = None
+        if free != list(range(self.low, self.length)):
+            words = np.arange(1 << self.length)
+            self.table = sum((words >> i & 1) << k for k, i in enumerate(free))
         #: by how many bits a pattern goes beyond the covering radius
         self.beyond = np.maximum(np.bitwise_count(self.patterns).astype(np.int64) - radius, 0)
 
@@ -110,6 +118,10 @@ class CoveringCode:
         words = self.word(prints)
         return words ^ self.patterns[self.first[self.syndrome(words)]]
 
+    def number(self, anchors: np.ndarray) -> np.ndarray:
+        """Anchors as numbers without gaps."""
+        return anchors >> self.low if self.table is None else self.table[anchors]
+
     def anchors(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row numbers, anchors within radius plus threshold, and bits beyond the radius; the first of each row is its home."""
         words = self.word(prints)
@@ -161,8 +173,20 @@ class AnchorFamily:
             rows, keys = rows[again], keys[again] | anchors[place].astype(np.int64) << 23 * k
         return rows, keys
 
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each anchor among those of this family."""
+        out, shift = np.zeros(len(keys), np.int64), 0
+        for k, code in enumerate(self.codes):
+            out |= code.number(keys >> 23 * k & ((1 << 23) - 1)) << shift
+            shift += code.bits
+        return out
+
+    @property
+    def size(self) -> int:
+        return 1 << sum(code.bits for code in self.codes)
+
 
-def anchor_families(most: int = LINK, joint: int = 1) -> list[AnchorFamily]:
+def anchor_families(most: int = LINK, joint: int = 2) -> list[AnchorFamily]:
     """The anchors for pairs that differ in ``most`` bits at most, of single blocks or of any two."""
     hamming = [i + 1 for i in range(15)] + [i << 4 for i in (1, 2, 3)]
     t = most * joint // 3
@@ -223,7 +247,44 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def fingerprint_links(prints: DataFrame, most: int = LINK, part: int = 1 << 16, joint: int = 1) -> DataFrame:
+SEGMENT = 1 << 15  # anchors in a row of the bitmap
+
+
+def home_anchors(prints: DataFrame, families: list[AnchorFamily]) -> list[np.ndarray]:
+    """For each family one bit for each anchor, set if it is the home of a fingerprint."""
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(f.size, bool) for f in families]
+        for batch in batches:
+            values = batch.column("print").to_numpy().view(np.uint64)
+            for f, own in zip(families, held, strict=True):
+                own[f.places(f.home(values))] = True
+        for number, own in enumerate(held):
+            rows = own.reshape(-1, min(SEGMENT, len(own)))
+            at = np.flatnonzero(rows.any(axis=1))
+            packed = [np.packbits(rows[i]).tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), number, np.int32)), pa.array(at.astype(np.int32)), pa.array(packed, pa.binary())], names=["family", "segment", "bits"]
+            )
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(0, np.uint8)
+        for bits in table.column("bits"):
+            own = np.frombuffer(bits.as_py(), np.uint8)
+            total = own if not len(total) else total | own
+        return pa.table([[key[0].as_py()], [key[1].as_py()], [total.tobytes()]], schema=schema)
+
+    schema = pa.schema([("family", pa.int32()), ("segment", pa.int32()), ("bits", pa.binary())])
+    found = prints.mapInArrow(segments, "family int, segment int, bits binary")
+    found = found.groupBy("family", "segment").applyInArrow(join, "family int, segment int, bits binary")
+    out = [np.zeros(f.size // 8, np.uint8) for f in families]
+    for r in found.collect():  # at most one for each segment of the anchors
+        own = np.frombuffer(r["bits"], np.uint8)
+        out[r["family"]][r["segment"] * len(own) : (r["segment"] + 1) * len(own)] = own
+    return out
+
+
+def fingerprint_links(prints: DataFrame, most: int = LINK, part: int = 1 << 16, joint: int = 2) -> DataFrame:
     """Links (a, b) that join all fingerprints of the column ``print`` with at most ``most`` bits between them.
 
     ``prints`` has different fingerprints. The links give the components of the
@@ -238,15 +299,20 @@ def fingerprint_links(prints: DataFrame, most: int = LINK, part: int = 1 << 16,
             yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["anchor"])
 
     crowded = prints.mapInArrow(homes, "anchor long").groupBy("anchor").count().where(F.col("count") > part)
-    parts = {r["anchor"]: -(-r["count"] // part) for r in crowded.collect()}  # at most one entry for each anchor
+    # of anchors with more than ``part`` at home, so of few
+    parts = {r["anchor"]: -(-r["count"] // part) for r in crowded.collect()}
+    known = home_anchors(prints, families)
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 values = batch.column("print").slice(at, 1024).to_numpy().view(np.uint64)
-                for family in families:
+                for family, bits in zip(families, known, strict=True):
                     rows, keys = family.copies(values)
                     home = np.diff(rows, prepend=-1) > 0
+                    place = family.places(keys)
+                    met = bits[place >> 3] >> (7 - (place & 7)) & 1 > 0
+                    rows, keys, home = rows[met], keys[met], home[met]
                     own = values[rows]
                     numbers = np.zeros(len(rows), np.int32)
                     if parts:
@@ -261,19 +327,36 @@ def fingerprint_links(prints: DataFrame, most: int = LINK, part: int = 1 << 16,
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("anchor", "part", "home", "print")
+        held = [np.zeros(0, t) for t in (np.int64, np.int32, bool, np.int64)]  # the group that may go on in the next batch
         last, group = None, AnchorGroup(most)
-        for batch in batches:
-            anchor, number = batch.column("anchor").to_numpy(), batch.column("part").to_numpy()
-            home = batch.column("home").to_numpy(zero_copy_only=False)
-            values = batch.column("print").to_numpy().view(np.uint64)
-            cuts = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(number) != 0)) + 1
-            links: list[tuple[int, int]] = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(anchor)], strict=True):
-                if a < b:
-                    if (key := (anchor[a], number[a])) != last:
-                        last, group = key, AnchorGroup(most)
-                    links += group.add(values[a:b], home[a:b])
-            ends = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names, strict=True)]
+            anchor, number, home, own = held
+            if not len(anchor):
+                continue
+            values = own.view(np.uint64)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(anchor) != 0) | (np.diff(number) != 0)) + 1, [len(anchor)]])
+            if batch is not None and len(cuts) > 1 and len(anchor) - cuts[-2] < HELD:
+                held = [h[cuts[-2] :] for h in held]
+                cuts = cuts[:-1]
+            else:
+                held = [h[:0] for h in held]
+            starts, sizes = cuts[:-1], np.diff(cuts)
+            if not len(starts):
+                continue
+            at_home = np.add.reduceat(home, starts, dtype=np.int64)
+            large = at_home > FEW
+            # a group that goes on, or that began in an earlier batch
+            large[0] |= (anchor[0], number[0]) == last
+            large[-1] |= sizes[-1] >= HELD
+            found = [few_links(values, starts[~large], sizes[~large], at_home[~large], most)]
+            for a, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
+                if (key := (anchor[a], number[a])) != last:
+                    last, group = key, AnchorGroup(most)
+                found.append(np.array(group.add(values[a : a + n], home[a : a + n]), np.uint64).reshape(-1, 2))
+            ends = np.concatenate(found).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
 
     return (
@@ -284,8 +367,26 @@ def fingerprint_links(prints: DataFrame, most: int = LINK, part: int = 1 << 16,
     )
 
 
+FEW, HELD = 8, 1 << 15  # at home at an anchor for which all are compared at once; rows of a group that wait for the next batch
+
+
+def few_links(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at_home: np.ndarray, most: int) -> np.ndarray:
+    """Links between those at home, at most ``FEW`` and first in each group, and all of their group."""
+    out = [np.zeros((0, 2), np.uint64)]
+    for k in range(FEW):
+        some = (at_home > k) & (sizes > k + 1)
+        first, n = starts[some], sizes[some] - k - 1  # each one at home with those behind it
+        left = np.repeat(first + k, n)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first + k + 1, n)
+        a, b = values[left], values[right]
+        apart = np.bitwise_count(a ^ b)
+        near = (apart <= most) & (apart > 0)
+        out.append(np.stack([a[near], b[near]], axis=1))
+    return np.concatenate(out)
+
+
 def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LINK, joint: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LINK, joint: int = 2
 ) -> DataFrame:
     """Return id, ``fingerprint`` (16 hex digits) and ``component_id`` for every row.
 
@@ -310,19 +411,24 @@ def simhash_groups(
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LINK) -> DataFrame:
-    """The rows, with all their columns, whose id is the smallest of their group.
+    """The rows, with all their columns, that are the smallest of their group by id and a hash of the text.
 
-    Of rows that repeat such an id one stays. A row without an id cannot be told
-    from another and stays.
+    Of rows that repeat an id and a text one stays; rows that share an id but have
+    texts in different groups do not stand for one another. A row without an id
+    cannot be told from another and stays.
     """
     columns, own = docs.columns, free_prefix(docs.columns, "_own_")
-    kept_id, place = f"{own}kept", f"{own}place"
-    groups = simhash_groups(docs, id_col, text_col, most)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(kept_id)).distinct()
+    kept, hashed, row = f"{own}kept", f"{own}hash", f"{own}row"
+    text_hash = F.xxhash64(binary_text(F.col(text_col)))
+    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), text_hash.alias("hash")))
+    groups = simhash_groups(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", most)
+    least = groups.where(F.col("key") == F.col("component_id")).select(F.col("key.id").alias(kept), F.col("key.hash").alias(f"{kept}_hash")).distinct()
+    # rows without an id are spread by their place, so that they do not meet
+    spread = docs.withColumn(hashed, text_hash).withColumn(row, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
     return (
-        docs.join(kept, F.col(id_col) == F.col(kept_id), "left")
-        .where(F.col(kept_id).isNotNull() | F.col(id_col).isNull())
-        .withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
-        .where((F.col(place) == 1) | F.col(id_col).isNull())
+        spread.join(least, (F.col(id_col) == F.col(kept)) & (F.col(hashed) == F.col(f"{kept}_hash")), "left")
+        .where(F.col(kept).isNotNull() | F.col(id_col).isNull())
+        .withColumn(f"{row}_place", F.row_number().over(Window.partitionBy(id_col, hashed, row).orderBy(id_col)))
+        .where(F.col(f"{row}_place") == 1)
         .select(*columns)
     )

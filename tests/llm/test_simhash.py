@@ -7,7 +7,8 @@ import xxhash
 from cases import no_documents, odd_documents
 
 from palimpsest.llm.components import connected_components
-from palimpsest.llm.simhash import anchor_families, fingerprint_links, simhash_groups
+from palimpsest.llm import simhash
+from palimpsest.llm.simhash import anchor_families, fingerprint_links, keep_one_of_each_group, simhash_groups
 
 
 def plain_fingerprint(text):
@@ -104,3 +105,44 @@ def test_components_of_paths_and_no_links(spark):
     found = {r.node: r.root for r in connected_components(path, "a", "b").collect()}
     assert found == {**{i: 0 for i in range(101)}, 400: 400, 500: 400}
     assert connected_components(path.limit(0), "a", "b").count() == 0
+
+
+def test_hubs_are_split(spark):
+    rng = random.Random(6)
+    pairs = [(0, k) for k in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(59, 160), (160, 100), (300, 301), (302, 301)]
+    pairs += [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    want = components({x for p in pairs for x in p}, pairs)
+    want = {n: min(k for k in want if want[k] == want[n]) for n in want}
+    for hub in (4, 1 << 20):
+        found = {r.node: r.root for r in connected_components(df, "a", "b", hub=hub).collect()}
+        assert {n: found.get(n, n) for n in want} == want
+
+
+@pytest.mark.parametrize("held", [1, 1 << 15])
+def test_groups_over_batches_keep_their_links(spark, monkeypatch, held):
+    rng = random.Random(12)
+    prints = set()
+    for _ in range(3):  # many at one home
+        x = rng.getrandbits(64)
+        prints |= {x ^ 1 << a ^ 1 << b for a in range(64) for b in range(a)}
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    df = spark.createDataFrame([(p,) for p in prints], "print long").repartition(2)
+    monkeypatch.setattr(simhash, "HELD", held)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = {r.node: r.root for r in connected_components(fingerprint_links(df), "a", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(found) == len(prints) and len(set(found.values())) == 3
+
+
+def test_rows_that_share_an_id_stay_if_their_texts_are_apart(spark):
+    one, two = "a text of some words that stands here alone", "quite another story about the sea and its ships"
+    rows = [(5, one), (5, two), (5, one), (7, one + ""), (8, two), (None, one), (None, one), (9, None), (10, "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
+    got = keep_one_of_each_group(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect() if r.doc_id != 9) == sorted([("5", one), ("5", two), ("None", one), ("None", one)])
+    assert got.where("doc_id = 9").count() == 1
