@@ -248,6 +248,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 SEGMENT = 1 << 15  # anchors in a row of the bitmap
+IN_A_TASK = 20_000  # fingerprints, with some 8 million copies
 
 
 def home_anchors(prints: DataFrame, families: list[AnchorFamily]) -> list[np.ndarray]:
@@ -291,6 +292,9 @@ def fingerprint_links(prints: DataFrame, most: int = LINK, part: int = 1 << 16,
     graph of all such pairs without holding all pairs.
     """
     families = anchor_families(most, joint)
+    # making copies is most of the work, so every task gets a like share of it
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // IN_A_TASK))
+    prints = materialize(prints.select("print").repartition(tasks))
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
