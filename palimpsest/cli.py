@@ -44,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--old")
     d.add_argument("--new")
     d.add_argument("--world")
+    d.add_argument("--chunk", action="append", default=[], help="DIM:X,Z: compare these chunks only, whether there or not")
+    add("verify")
     r = add("ref")
     r.add_argument("action", choices=("list", "create", "delete", "activate"))
     r.add_argument("name", nargs="?")
@@ -79,10 +81,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
     engine = Engine(store)
     match args.command:
         case "commit":
-            scope = scope_of(args, store)
+            done = engine.commit(args.world, scope_of(args, store))
             if not args.no_cache:
                 engine.update_cache(args.world)
-            return engine.commit(args.world, scope)
+            return done
         case "status":
             return engine.status(args.world, scope_of(args, store))
         case "checkout":
@@ -93,12 +95,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
             return rows(engine.log(args.stat).withColumn("time", show_time(F.col("created_at_ms"))))
         case "diff":
             scope = scope_of(args, store)
+            named = [(a.dim, kind, x, z) for a in map(parse_area, args.chunk) for x, z in a.chunks or () for kind in sorted(scope.kinds or (0,))]
+            keys = spark.createDataFrame(named, "dim int, kind int, x int, z int") if named else None
             if args.world:
-                found = engine.diff_world(args.world, store.resolve(args.old) if args.old else None, scope)
+                found = engine.diff_world(args.world, store.resolve(args.old) if args.old else None, scope, keys=keys)
             else:
                 new = store.resolve(args.new) if args.new else store.active().commit_id
-                found = engine.diff_commits(store.resolve(args.old) if args.old else None, new, scope)
+                found = engine.diff_commits(store.resolve(args.old) if args.old else None, new, scope, keys=keys)
             return rows(found.orderBy("dim", "kind", "x", "z").withColumn("kind", show_kind(F.col("kind"))))
+        case "verify":
+            return rows(engine.verify())
         case "ref":
             if args.action == "list":
                 return [vars(r) for r in store.refs()]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.checkpoints import materialize
+
 
 class UnknownCommit(KeyError):
     """A commit that the graph lacks."""
@@ -29,32 +31,36 @@ def require(commits: DataFrame, commit: str) -> None:
         raise UnknownCommit(commit)
 
 
-def ancestors(edges: DataFrame, start: DataFrame, together: int = 12) -> DataFrame:
+def ancestors(edges: DataFrame, start: DataFrame, together: int = 4) -> DataFrame:
     """(id, depth) of all ancestors of the ids in ``start``, the nearest depth of each, start itself left out.
 
-    A job goes up so many generations as ``together`` says, with each generation
-    made distinct, and then keeps what was not seen before; paths are not
-    enumerated, so diamonds cost nothing. The ids found are checkpointed where
-    the session has a folder for it.
+    Jumps are doubled: from the ancestors of each commit after exactly n steps come
+    those after 2n, and what was found within n steps finds, by one such jump,
+    what is within 2n. So the rounds grow with the logarithm of the depth. A node
+    on a shortest way is at its own nearest depth, so the nearest depth of each
+    is enough, and paths are not enumerated: diamonds cost nothing. After so many
+    rounds as ``together`` says, four at most, what was found is checkpointed.
     """
-    reliable = not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
-    edge = keep(edges.select("child_id", "parent_id").distinct())
-    frontier = start.select("id").distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
-    depth = 0
+    jump = edges.select(F.col("child_id").alias("low"), F.col("parent_id").alias("high")).distinct()
+    seen = start.select("id").distinct().withColumn("depth", F.lit(0))
+    far = 1
     while True:
-        level, levels = frontier, None
-        for k in range(1, together + 1):
-            level = level.join(edge, F.col("id") == F.col("child_id")).select(F.col("parent_id").alias("id")).distinct()
-            own = level.withColumn("depth", F.lit(depth + k))
-            levels = own if levels is None else levels.unionByName(own)
-        nearest = levels.groupBy("id").agg(F.min("depth").alias("depth"))
-        fresh = keep(nearest.join(seen.select("id"), "id", "left_anti"))
-        depth += together
-        seen = keep(seen.unionByName(fresh))
-        frontier = fresh.where(F.col("depth") == depth).select("id")
-        if not frontier.limit(1).count():
+        held = []
+        for _ in range(min(together, 4)):
+            jump = jump.persist()
+            beyond = seen.join(jump, F.col("id") == F.col("low")).select(F.col("high").alias("id"), (F.col("depth") + far).alias("depth"))
+            seen = seen.unionByName(beyond).groupBy("id").agg(F.min("depth").alias("depth")).persist()
+            held += [jump, seen]
+            middle = jump.select(F.col("high").alias("_middle"), F.col("low").alias("_low"))
+            jump = middle.join(jump, F.col("_middle") == F.col("low")).select(F.col("_low").alias("low"), "high").distinct()
+            far *= 2
+        seen = materialize(seen)
+        deepest = seen.agg(F.max("depth")).first()[0] or 0
+        if deepest >= far // 2:  # else the last jump found nothing, so there is nothing deeper
+            jump = materialize(jump)
+        for frame in held:
+            frame.unpersist()
+        if deepest < far // 2:
             return seen.where("depth > 0")
 
 

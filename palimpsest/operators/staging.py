@@ -47,11 +47,10 @@ def _n(column: Column) -> Column:
     return F.coalesce(F.sum(column.cast("long")), F.lit(0)).cast("long")
 
 
-def commit_report(current: DataFrame, base: DataFrame, blobs: DataFrame, scope: Scope = WORLD) -> DataFrame:
-    """One row: chunks and tombstones recorded, and different payloads that are new to the store."""
-    found = changes(current, base, scope)
+def change_report(changes: DataFrame, blobs: DataFrame) -> DataFrame:
+    """One row: chunks and tombstones of (key, hash) changes, and different payloads that are new to the store."""
     known = blobs.select(F.col("hash").alias("_known")).distinct()
-    joined = found.join(known, F.col("hash") == F.col("_known"), "left")
+    joined = changes.join(known, F.col("hash") == F.col("_known"), "left")
     fresh = F.when(F.col("_known").isNull(), F.col("hash"))
     return joined.agg(
         _n(F.col("hash").isNotNull()).alias("chunks"),
@@ -60,6 +59,11 @@ def commit_report(current: DataFrame, base: DataFrame, blobs: DataFrame, scope:
     )
 
 
+def commit_report(current: DataFrame, base: DataFrame, blobs: DataFrame, scope: Scope = WORLD) -> DataFrame:
+    """One row: chunks and tombstones recorded, and different payloads that are new to the store."""
+    return change_report(changes(current, base, scope), blobs)
+
+
 def status_report(current: DataFrame, base: DataFrame, blobs: DataFrame, scope: Scope = WORLD, current_regions: DataFrame | None = None) -> DataFrame:
     """One row of what a commit would do.
 

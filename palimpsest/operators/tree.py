@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.coords import KEY, REGION, SIDE, with_region
+from palimpsest.checkpoints import materialize
+from palimpsest.functions.coords import KEY, LEAST_REGION, MOST_REGION, REGION, SIDE, with_region
 from palimpsest.functions.digest import DIM_TAG, EMPTY_ROOT, REGION_TAG, ROOT_TAG, hex_int, tagged_digest
 
 
@@ -115,36 +116,54 @@ def diff_stats(current: DataFrame, base: DataFrame, by: list[str] | None = None)
     return out.select(*by, "fresh_chunks", "fresh_tombstones", F.coalesce("new_blobs", F.lit(0)).cast("long").alias("new_blobs"), "effective_chunks")
 
 
-def pruned(current: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both snapshots without the regions whose hashes agree, dimensions first.
+def pruned(current: DataFrame, base: DataFrame, nodes: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both snapshots without the regions whose hashes agree.
 
-    Returns what may differ; rows are read by region only after hashes were
-    compared level by level.
+    ``nodes`` are the region nodes of both as a store has them; without them
+    they are made once for each side. Equal dimensions have equal regions, so
+    one anti-join by region is enough.
     """
-    a, b = region_nodes(current), region_nodes(base)
-    same_dims = dim_nodes(a).join(dim_nodes(b), ["dim", "dim_hash"]).select("dim")
-    rest_a, rest_b = (t.join(same_dims, "dim", "left_anti") for t in (a, b))
-    same = rest_a.join(rest_b, [*REGION, "region_hash"]).select(*REGION)
-    return tuple(
-        with_region(t).join(same_dims, "dim", "left_anti").join(same, list(REGION), "left_anti").select(*KEY, "hash")
-        for t in (current, base)
-    )
+    a, b = nodes or tuple(materialize(region_nodes(t)) for t in (current, base))
+    same = a.join(b, [*REGION, "region_hash"]).select(*REGION)
+    return tuple(with_region(t).join(same, list(REGION), "left_anti").select(*KEY, "hash") for t in (current, base))
 
 
-def verify_nodes(region_edge: DataFrame) -> DataFrame:
-    """Faults of stored region nodes: places out of range, repeated places, wrong hashes; no row if all is well."""
-    digest = _node(REGION_TAG, ["cx", "cz"], [2, 2], "hash")
-    inside = F.col("cx").between(0, 31) & F.col("cz").between(0, 31)
-    checked = region_edge.groupBy("region_hash").agg(
+def ordered(entries: DataFrame, most: int | None = None) -> DataFrame:
+    """A snapshot in the order of its keys; with ``most`` only so many first rows, of which no full sort is made."""
+    rows = entries.orderBy(*KEY)
+    return rows if most is None else rows.limit(most)
+
+
+def _faults(edges: DataFrame, key: str, digest: Column, outside: Column, place: list[str], child: str) -> DataFrame:
+    """Faults of stored nodes of one level, the first of each node that is not well."""
+    checked = edges.groupBy(key).agg(
         digest.alias("_digest"),
-        F.max((~inside).cast("int")).alias("_out"),
-        (F.count("*") - F.countDistinct("cx", "cz")).alias("_twice"),
-        F.max((~F.coalesce(F.col("hash").rlike("^[0-9a-f]{64}$"), F.lit(False))).cast("int")).alias("_bad"),
+        F.max(outside.cast("int")).alias("_out"),
+        (F.count("*") - F.countDistinct(*place)).alias("_twice"),
+        F.max((~F.coalesce(F.col(child).rlike("^[0-9a-f]{64}$"), F.lit(False))).cast("int")).alias("_bad"),
     )
     fault = (
         F.when(F.col("_out") > 0, "place out of range")
         .when(F.col("_twice") > 0, "repeated place")
         .when(F.col("_bad") > 0, "malformed digest")
-        .when(F.col("_digest") != F.col("region_hash"), "digest mismatch")
+        .when(F.col("_digest") != F.col(key), "digest mismatch")
     )
-    return checked.select("region_hash", fault.alias("fault")).where(F.col("fault").isNotNull())
+    return checked.select(key, fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def verify_nodes(region_edge: DataFrame) -> DataFrame:
+    """Faults of stored region nodes: places out of range, repeated places, wrong hashes; no row if all is well."""
+    inside = F.col("cx").between(0, SIDE - 1) & F.col("cz").between(0, SIDE - 1)
+    return _faults(region_edge, "region_hash", _node(REGION_TAG, ["cx", "cz"], [2, 2], "hash"), ~inside, ["cx", "cz"], "hash")
+
+
+def verify_dims(dim_edge: DataFrame) -> DataFrame:
+    """Faults of stored dimension nodes: kinds or regions out of range, repeated regions, wrong hashes."""
+    inside = F.col("kind").between(0, 2) & F.col("rx").between(LEAST_REGION, MOST_REGION) & F.col("rz").between(LEAST_REGION, MOST_REGION)
+    digest = _node(DIM_TAG, ["kind", "rx", "rz"], [8, 8, 8], "region_hash")
+    return _faults(dim_edge, "dim_hash", digest, ~inside, ["kind", "rx", "rz"], "region_hash")
+
+
+def verify_roots(root_edge: DataFrame) -> DataFrame:
+    """Faults of stored root nodes: repeated dimensions, wrong hashes."""
+    return _faults(root_edge, "root_hash", _node(ROOT_TAG, ["dim"], [8], "dim_hash"), F.lit(False), ["dim"], "dim_hash")

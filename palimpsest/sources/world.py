@@ -224,6 +224,22 @@ def present_places(files: DataFrame) -> DataFrame:
     return files.mapInArrow(work, "dim int, kind int, x int, z int").distinct().orderBy(*KEY)
 
 
+POINT_SCHEMA = pa.schema([*((c, pa.int32()) for c in KEY), ("payload", pa.binary())])
+
+
+def read_points(files: DataFrame) -> DataFrame:
+    """(key, payload) of the places that each file has in its column ``points`` of (x, z); only these are read."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in _rows(batches):
+            with open(f["path"], "rb") as file:
+                image = file.read()
+            found = [(p["x"], p["z"], region_file.point(image, f["rx"], f["rz"], p["x"], p["z"])) for p in f["points"]]
+            yield _batch([(f["dim"], f["kind"], x, z, payload) for x, z, payload in found if payload is not None], POINT_SCHEMA)
+
+    return files.mapInArrow(work, "dim int, kind int, x int, z int, payload binary")
+
+
 def file_digests(files: DataFrame) -> DataFrame:
     """(region, image_hash) of the files' exact bytes."""
     schema = pa.schema([*((c, pa.int32()) for c in REGION), ("image_hash", pa.string())])

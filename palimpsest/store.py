@@ -28,6 +28,7 @@ from palimpsest.operators import graph, tree
 from palimpsest.plans.scope import Rect, Scope, named_scope
 
 VERSION = "1"
+FEW_KEYS = 1000
 TABLES = {
     "commits": "seq long, id string, created_at_ms long, root_hash string",
     "commit_parents": "child_id string, parent_id string",
@@ -97,11 +98,42 @@ class Store:
 
     def append(self, name: str, rows: DataFrame) -> None:
         columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        rows.select(*columns).write.mode("append").parquet(str(self.path / name))
+        self._writer(rows.select(*columns).sortWithinPartitions(columns[0]), name).parquet(str(self.path / name))
+
+    def _writer(self, rows: DataFrame, name: str):
+        """Files sorted by the first column, with a Bloom filter where that is a hash."""
+        key, kind = TABLES[name].split(", ")[0].split()
+        writer = rows.write.mode("append")
+        return writer.option(f"parquet.bloom.filter.enabled#{key}", "true") if kind == "string" else writer
 
     def append_new(self, name: str, rows: DataFrame, key: str) -> None:
-        """Append rows of keys that the table lacks: nodes whose hash is stored are stored already."""
-        self.append(name, rows.join(self.table(name).select(key).distinct(), key, "left_anti"))
+        """Append rows of keys that the table lacks: nodes whose hash is stored are stored already.
+
+        Which of the new keys are there is asked with these on the small side, so
+        history is scanned for one column, never shuffled, and a few keys skip
+        all files but those whose bounds or Bloom filters have them.
+        """
+        fresh = rows.select(key).distinct().persist()
+        few = [r[0] for r in fresh.limit(FEW_KEYS + 1).collect()]
+        stored = self.table(name).select(key)
+        if len(few) <= FEW_KEYS:
+            stored = stored.where(F.col(key).isin(few))
+        known = stored.join(fresh, key, "left_semi").distinct()
+        self.append(name, rows.join(known, key, "left_anti"))
+        fresh.unpersist()
+
+    def compact(self, name: str) -> None:
+        """Write a table anew in few sorted files; readers of the old files must be done."""
+        key = TABLES[name].split()[0]
+        folder, fresh = self.path / name, self.path / f"{name}.new"
+        if folder.exists():
+            with self.lock():
+                shutil.rmtree(fresh, ignore_errors=True)
+                self._writer(self.table(name).distinct().repartitionByRange(key).sortWithinPartitions(key), name).parquet(str(fresh))
+                old = self.path / f"{name}.old"
+                folder.rename(old)
+                fresh.rename(folder)
+                shutil.rmtree(old)
 
     def clear_cache(self) -> int:
         count = self.table("region_cache").count()
@@ -219,13 +251,19 @@ class Store:
         _replace(self.path / "refs.json", {n: r | {"active": n == name} for n, r in refs.items()})
         return self.active()
 
-    def move_active(self, expected: str | None, commit: str) -> None:
-        """Move the active ref, unless it is no longer where the caller saw it."""
+    def last_batch(self, stream: str) -> int:
+        """The number of the last batch of a stream that the active ref has, or -1."""
+        return next((r.get("batches", {}).get(stream, -1) for r in self._refs().values() if r["active"]), -1)
+
+    def move_active(self, expected: str | None, commit: str, batch: tuple[str, int] | None = None) -> None:
+        """Move the active ref, unless it is no longer where the caller saw it; a stream's batch is noted in the same step."""
         refs = self._refs()
         name = next(n for n, r in refs.items() if r["active"])
         if refs[name]["commit_id"] not in (expected, commit):
             raise StoreError(f"ref {name} moved meanwhile")
         refs[name]["commit_id"] = commit
+        if batch is not None:
+            refs[name].setdefault("batches", {})[batch[0]] = batch[1]
         _replace(self.path / "refs.json", refs)
 
     # scopes

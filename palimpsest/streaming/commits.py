@@ -1,7 +1,8 @@
 """Commits from a stream: every micro-batch of changes becomes one commit.
 
-The batch's number is the commit's time, so a batch that is run again after a
-failure records the commit it recorded before.
+The number of the last batch is kept with the ref that its commit moved, so a
+batch that is run again after a failure is recorded once. Only the changes of a
+batch are passed on, and only regions with a change get new nodes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.engine import Engine
 from palimpsest.functions.coords import KEY
-from palimpsest.operators import tree
 
 
 def commit_stream(engine: Engine, changes: DataFrame, checkpoint: str, start_ms: int = 0) -> StreamingQuery:
@@ -22,9 +22,6 @@ def commit_stream(engine: Engine, changes: DataFrame, checkpoint: str, start_ms:
         if batch.isEmpty():
             return
         last = batch.groupBy(*KEY).agg(F.max_by(F.struct("payload", "hash"), "seq").alias("_last")).select(*KEY, "_last.*")
-        base = engine.store.snapshot(engine.store.active().commit_id)
-        wanted = tree.merged(base, last)
-        payloads = wanted.join(last.select(*KEY, "payload"), list(KEY), "left")
-        engine.commit(payloads, created_at_ms=start_ms + number)
+        engine.commit_changes(last, start_ms + number, (str(checkpoint), number))
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
