@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import gzip
+import struct
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import coords, names
-from palimpsest.functions.coords import KEY, with_region
-from palimpsest.functions.digest import COMMIT_TAG, DIM_TAG, REGION_TAG, ROOT_TAG, dimension_code, parse_hex
+from palimpsest.functions.coords import KEY, REGION, with_region
+from palimpsest.functions.digest import COMMIT_TAG, DIM_TAG, REGION_TAG, ROOT_TAG, dimension_code, hex_int, parse_hex, tagged_digest
 from palimpsest.operators import cache, checkout, diff, graph, staging, tree
-from palimpsest.plans.scope import Area, Rect, Scope, in_named_scopes, named_scope
-from palimpsest.sources import tables
+from palimpsest.plans.scope import Area, Rect, Scope, in_named_scopes, named_scope, selection
+from palimpsest.sources import nbt, region_file, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,7 +223,11 @@ def status_report(spark, sf_dir):
     return staging.status_report(current, base, base)
 
 
-@query("SELECT true AS clean, 0::BIGINT AS changed_regions, 0::BIGINT AS new_files, 0::BIGINT AS deleted_files, 0::BIGINT AS new_chunks, 0::BIGINT AS tombstones, 0::BIGINT AS new_blobs")
+SAME = """ch AS (SELECT v2.* FROM v2 LEFT JOIN v2 o USING (dim, kind, x, z) WHERE o.hash IS DISTINCT FROM v2.hash),
+gone AS (SELECT dim, kind, x, z FROM v2 ANTI JOIN v2 o USING (dim, kind, x, z))"""
+
+
+@query(f"WITH {WORLDS}, {SAME}, {REGIONS} SELECT NOT EXISTS (FROM ch) AND NOT EXISTS (FROM gone) AS clean, {STATUS.format(c='ch', g='gone', r='r2', n='r2', b='v2')}")
 def status_clean(spark, sf_dir):
     base, _ = world(spark, sf_dir, 2, 3)
     return staging.status_report(base, base, base)
@@ -272,7 +280,7 @@ def root_hash(spark, sf_dir):
     return tree.root_node(tree.dim_nodes(tree.region_nodes(world(spark, sf_dir, 2)[0])))
 
 
-@query(f"SELECT sha256(unhex('{ROOT_TAG}')) AS root_hash")
+@query(f"WITH {WORLDS}, nothing AS (SELECT * FROM v2 WHERE false), {tree_sql('nothing', 'a')} SELECT * FROM atop")
 def empty_root(spark, sf_dir):
     empty = world(spark, sf_dir, 2)[0].where("false")
     return tree.root_node(tree.dim_nodes(tree.region_nodes(empty)))
@@ -291,15 +299,16 @@ def snapshot_scan(spark, sf_dir):
     return tree.snapshot(roots, *_edges(spark, sf_dir))
 
 
-@query(f"WITH {WORLDS} SELECT 'r' AS root_hash, dim, kind, x, z, hash FROM v2 WHERE x = -3 AND z = -7 AND dim = (SELECT dim FROM v2 WHERE x = -3 AND z = -7) AND kind = (SELECT kind FROM v2 WHERE x = -3 AND z = -7)")
+@query(f"WITH {WORLDS} SELECT 'r' AS root_hash, dim, kind, x, z, hash FROM v2 WHERE x = -3 AND z = -7")
 def chunk_lookup(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    # the one chunk at this place, whatever its dimension and kind
-    found = [tree.lookup("r", (d, k, -3, -7), *edges) for d in range(1, 6) for k in range(3)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    # one chunk of the table has this place; its dimension and kind make it a key
+    here = world(spark, sf_dir, 2)[0].where("x = -3 AND z = -7").first()
+    return tree.lookup("r", (here["dim"], here["kind"], -3, -7), *_edges(spark, sf_dir))
+
+
+@query(f"WITH {WORLDS} SELECT dim, kind, x, z, hash FROM v2 ORDER BY dim, kind, x, z LIMIT 1000")
+def ordered_scan(spark, sf_dir):
+    return tree.ordered(world(spark, sf_dir, 2)[0], 1000)
 
 
 @query(
@@ -313,9 +322,37 @@ def bulk_node_reads(spark, sf_dir):
     return found.select("place", "region_hash", F.size("entries").cast("long").alias("entries"))
 
 
-@query("SELECT region_hash, fault FROM (SELECT '' AS region_hash, '' AS fault) WHERE false")
+@query(
+    f"WITH {WORLDS}, {tree_sql('v2', 'a')} SELECT region_hash, CASE substr(region_hash, 1, 1) WHEN '0' THEN 'place out of range' WHEN '1' THEN 'repeated place' "
+    "WHEN '2' THEN 'malformed digest' ELSE 'digest mismatch' END AS fault FROM ar WHERE substr(region_hash, 1, 1) IN ('0', '1', '2', '3')"
+)
 def verify_nodes(spark, sf_dir):
-    return tree.verify_nodes(_edges(spark, sf_dir)[2])
+    edges = _edges(spark, sf_dir)[2]
+    first = F.substring("region_hash", 1, 1)
+    broken = edges.withColumn("cx", F.when(first == "0", F.col("cx") + 32).otherwise(F.col("cx")))
+    broken = broken.withColumn("hash", F.when(first == "2", "none").when(first == "3", F.reverse("hash")).otherwise(F.col("hash")))
+    return tree.verify_nodes(broken.unionByName(edges.where(first == "1").withColumn("hash", F.sha2("hash", 256))))
+
+
+@query(
+    f"WITH {WORLDS}, {tree_sql('v2', 'a')} SELECT dim_hash, CASE dim WHEN 1 THEN 'place out of range' WHEN 2 THEN 'repeated place' WHEN 3 THEN 'malformed digest' "
+    "ELSE 'digest mismatch' END AS fault FROM ad WHERE dim <= 4"
+)
+def verify_dims(spark, sf_dir):
+    regions = tree.region_nodes(world(spark, sf_dir, 2)[0])
+    dim = F.col("dim")
+    edges = regions.join(tree.dim_nodes(regions), "dim")
+    broken = edges.withColumn("kind", F.when(dim == 1, F.col("kind") + 3).otherwise(F.col("kind")))
+    broken = broken.withColumn("region_hash", F.when(dim == 3, F.upper("region_hash")).when(dim == 4, F.sha2("region_hash", 256)).otherwise(F.col("region_hash")))
+    return tree.verify_dims(broken.unionByName(edges.where(dim == 2)).select("dim_hash", "kind", "rx", "rz", "region_hash"))
+
+
+@query(f"WITH {WORLDS}, {tree_sql('v2', 'a')} SELECT sha256(dim_hash) AS root_hash, CASE dim WHEN 2 THEN 'repeated place' ELSE 'digest mismatch' END AS fault FROM ad")
+def verify_roots(spark, sf_dir):
+    dims = tree.dim_nodes(tree.region_nodes(world(spark, sf_dir, 2)[0]))
+    wrong = dims.select(F.sha2("dim_hash", 256).alias("root_hash"), "dim", "dim_hash")
+    right = dims.select(tagged_digest(ROOT_TAG, F.concat(hex_int(F.col("dim"), 8), "dim_hash")).alias("root_hash"), "dim", "dim_hash")
+    return tree.verify_roots(wrong.unionByName(wrong.where("dim = 2")).unionByName(right))
 
 
 STATS = """SELECT (SELECT count(*) FROM {a} LEFT JOIN {b} USING (dim, kind, x, z) WHERE {a}.hash IS DISTINCT FROM {b}.hash) AS fresh_chunks,
@@ -389,10 +426,14 @@ def diff_scoped(spark, sf_dir):
     return diff.diff_commits(*world(spark, sf_dir, 1, 2), Scope(frozenset([1]), (Area(2, RECT),)))
 
 
-@query(f"WITH {WORLDS}, k AS (SELECT dim, kind, x, z FROM v0 WHERE k % 7 = 0) SELECT dim, kind, x, z, v1.hash AS old, v2.hash AS new FROM k LEFT JOIN v1 USING (dim, kind, x, z) LEFT JOIN v2 USING (dim, kind, x, z) WHERE v1.hash IS DISTINCT FROM v2.hash")
+@query(
+    f"WITH {WORLDS}, k AS (SELECT dim, kind, x, z FROM v0 UNION SELECT dim, kind, x + 1000, z FROM v0) SELECT dim, kind, x, z, v1.hash AS old, v2.hash AS new "
+    "FROM k LEFT JOIN v1 USING (dim, kind, x, z) LEFT JOIN v2 USING (dim, kind, x, z) WHERE v1.hash IS DISTINCT FROM v2.hash"
+)
 def diff_named_keys(spark, sf_dir):
-    keys = tables.orders_world(spark, sf_dir).where("k % 7 = 0")
-    return diff.diff_keys(keys, *world(spark, sf_dir, 1, 2))
+    """All keys, and as many that neither side has."""
+    keys = tables.orders_world(spark, sf_dir).select(*KEY)
+    return diff.diff_keys(keys.unionByName(keys.withColumn("x", F.col("x") + 1000)), *world(spark, sf_dir, 1, 2))
 
 
 @query(f"WITH {WORLDS} SELECT dim, kind, x, z FROM v1 UNION SELECT dim, kind, x, z FROM v2")
@@ -566,6 +607,145 @@ def sector_layout(spark, sf_dir):
     return d.select("doc_id", length.alias("bytes"), coords.sectors(length).alias("sectors"))
 
 
+# --- formats: region images, packings, documents ----------------------------------------------------
+
+
+def _images(spark, sf_dir) -> DataFrame:
+    """(region, image) of version 2, with payloads that are stored plainly."""
+    rows = with_region(tables.version(spark, sf_dir, 2)).select(*REGION, "x", "z", F.concat(F.lit(b"\x03"), F.col("payload").cast("binary")).alias("payload"))
+
+    def build(key, table):
+        region = [k.as_py() for k in key]
+        builder = region_file.RegionBuilder(region[2], region[3], 7)
+        for x, z, payload in zip(*(table.column(c).to_pylist() for c in ("x", "z", "payload")), strict=True):
+            builder.stage_chunk(x, z, payload)
+        return pa.table([[r] for r in region] + [[builder.image()]], schema=pa.schema([*((c, pa.int32()) for c in REGION), ("image", pa.binary())]))
+
+    return rows.groupBy(*REGION).applyInArrow(build, "dim int, kind int, rx int, rz int, image binary")
+
+
+def _read_images(images: DataFrame, read: Callable[[bytes, int, int], list[tuple[int, bytes]]]) -> DataFrame:
+    """(key, payload) of the slots that ``read`` gives of each image."""
+    schema = pa.schema([*((c, pa.int32()) for c in KEY), ("payload", pa.binary())])
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                found = read(r["image"], r["rx"], r["rz"])
+                rows += [(r["dim"], r["kind"], r["rx"] * 32 + (s & 31), r["rz"] * 32 + (s >> 5), p) for s, p in found]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return images.mapInArrow(work, "dim int, kind int, x int, z int, payload binary")
+
+
+@query(f"WITH {WORLDS} SELECT dim, kind, x, z, hash FROM v2")
+def region_image_roundtrip(spark, sf_dir):
+    found = _read_images(_images(spark, sf_dir), lambda image, rx, rz: [(s, region_file.unpack(p)) for s, p in region_file.chunks(image)])
+    return found.select(*KEY, F.sha2("payload", 256).alias("hash"))
+
+
+@query(f"WITH {WORLDS} SELECT dim, kind, x, z FROM v2")
+def header_places(spark, sf_dir):
+    return _read_images(_images(spark, sf_dir), lambda image, rx, rz: [(s, b"") for s in region_file.present_slots(image[: region_file.HEADER])]).select(*KEY)
+
+
+@query(f"WITH {WORLDS} SELECT dim, kind, x, z, hash FROM v2 WHERE x & 31 = 5 AND z & 31 = 7")
+def point_reads(spark, sf_dir):
+    def read(image, rx, rz):
+        payload = region_file.point(image, rx, rz, rx * 32 + 5, rz * 32 + 7)
+        return [] if payload is None else [(5 + 32 * 7, region_file.unpack(payload))]
+
+    return _read_images(_images(spark, sf_dir), read).select(*KEY, F.sha2("payload", 256).alias("hash"))
+
+
+@query(
+    f"WITH {WORLDS} SELECT dim, kind, x >> 5 AS rx, z >> 5 AS rz, count(*) AS chunks, 8192 + 4096 * count(*) AS bytes FROM v2 GROUP BY ALL"
+)
+def region_file_sizes(spark, sf_dir):
+    """A file is its header and the sectors of its chunks, one each for such short payloads."""
+    images = _images(spark, sf_dir)
+    counts = with_region(world(spark, sf_dir, 2)[0]).groupBy(*REGION).agg(F.count("*").alias("chunks"))
+    return images.join(counts, list(REGION)).select(*REGION, "chunks", F.octet_length("image").cast("long").alias("bytes"))
+
+
+def _packed(text: bytes, how: int) -> bytes:
+    if how == region_file.GZIP:
+        return b"\x01" + gzip.compress(text)
+    if how == region_file.ZLIB:
+        return b"\x02" + zlib.compress(text)
+    if how == region_file.PLAIN:
+        return b"\x03" + text
+    import xxhash
+
+    check = xxhash.xxh32_intdigest(text, region_file.LZ4_SEED) & region_file.LZ4_MASK
+    stored = region_file.LZ4_MAGIC + struct.pack("<BIII", 0x1F, len(text), len(text), check) + text if text else b""
+    return b"\x04" + stored + region_file.LZ4_MAGIC + struct.pack("<BIII", 0x1F, 0, 0, 0)
+
+
+@query("SELECT doc_id, 1 + doc_id % 4 AS how, sha256(text) AS hash FROM documents")
+def packing_roundtrip(spark, sf_dir):
+    def work(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            out = [region_file.unpack(_packed(t, 1 + i % 4)) for i, t in zip(ids, batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([1 + i % 4 for i in ids], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "how", "data"])
+
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    return d.mapInArrow(work, "doc_id long, how long, data binary").select("doc_id", "how", F.sha2("data", 256).alias("hash"))
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_orderkey - 5000 AS INT) END AS rx, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_custkey AS INT) END AS rz FROM orders"
+)
+def file_names(spark, sf_dir):
+    """Names of region files, and those of other forms, by their coordinates."""
+
+    def work(batches):
+        for batch in batches:
+            places = [region_file.parse_name(n) or (None, None) for n in batch.column("name").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("o_orderkey"), *(pa.array([p[k] for p in places], pa.int32()) for k in (0, 1))], names=["o_orderkey", "rx", "rz"])
+
+    o = tables.read(spark, sf_dir, "orders")
+    k, z = (F.col(c).cast("string") for c in ("o_orderkey", "o_custkey"))
+    good = F.concat(F.lit("r."), (F.col("o_orderkey") - 5000).cast("string"), F.lit("."), z, F.lit(".mca"))
+    name = F.when(F.col("o_orderkey") % 4 < 2, good).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("r.0"), k, F.lit("."), z, F.lit(".mca"))).otherwise(F.concat(good, F.lit(".bak")))
+    return o.select("o_orderkey", name.alias("name")).mapInArrow(work, "o_orderkey long, rx int, rz int")
+
+
+def _document(x: int, z: int, status: str, updated: int) -> bytes:
+    """The least document of a chunk."""
+    tag = lambda kind, name, body: bytes([kind]) + nbt.name_bytes(name) + body
+    number = lambda name, v: tag(nbt.INT, name, struct.pack(">i", v))
+    fields = [number("DataVersion", 3465), number("xPos", x), number("zPos", z), number("yPos", -4), tag(nbt.STRING, "Status", nbt.name_bytes(status))]
+    fields += [tag(nbt.LONG, n, struct.pack(">q", updated)) for n in ("LastUpdate", "InhabitedTime")]
+    fields += [tag(nbt.LIST, n, bytes(5)) for n in ("sections", "block_entities", "fluid_ticks", "block_ticks")]
+    return tag(nbt.COMPOUND, "", b"".join([*fields, tag(nbt.COMPOUND, "Heightmaps", b"\0"), b"\0"]))
+
+
+@query("SELECT o_orderpriority, count(*) AS documents, count(DISTINCT (o_custkey % 100, o_orderstatus)) AS keys FROM orders GROUP BY ALL")
+def document_keys(spark, sf_dir):
+    """Keys of documents that differ in what is volatile, too: only place and status count."""
+
+    def work(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("o_orderkey", "o_custkey", "o_orderstatus")), strict=True)
+            found = [nbt.chunk_key(0, _document(c % 100, 0, s, k)) for k, c, s in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("o_orderpriority"), pa.array(found, pa.string())], names=["o_orderpriority", "key"])
+
+    o = tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    keyed = o.mapInArrow(work, "o_orderpriority string, key string")
+    return keyed.groupBy("o_orderpriority").agg(F.count("*").alias("documents"), F.countDistinct("key").alias("keys"))
+
+
+@query(f"WITH {WORLDS} SELECT dim, kind, x, z FROM v1 WHERE kind IN (0, 1) AND ((dim = 5 AND x BETWEEN -50 AND 40 AND z BETWEEN -20 AND 10) OR (dim = 3 AND x >> 5 = 1 AND z >> 5 = -1) OR dim = 4)")
+def selection_of_options(spark, sf_dir):
+    """The scope of command-line options over all chunks."""
+    scope = selection(["5:40,10..-50,-20", "4"], ["3:1,-1"], ["region", "entities"])
+    return world(spark, sf_dir, 1)[0].where(scope.contains()).select(*KEY)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
