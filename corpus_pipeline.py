@@ -8,14 +8,13 @@ are taken as the operators say, and empty tables give empty results.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import free_prefix, read_table
+from palimpsest.llm._common import free_prefix, read_table, shared_folder
 from palimpsest.llm.decontaminate import drop_leaks
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.quality import held_out, score_quality, train_quality
@@ -74,8 +73,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, with Parquet in the shared folder between them; the last stage's stays."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for place, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{place}")
