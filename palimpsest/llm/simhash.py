@@ -248,19 +248,17 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 SEGMENT = 1 << 15  # anchors in a row of the bitmap
-IN_A_TASK = 20_000  # fingerprints, with some 8 million copies
+IN_A_TASK, AT_ONCE = 20_000, 256  # fingerprints, with 411 copies each
 
 
 def home_anchors(prints: DataFrame, families: list[AnchorFamily]) -> list[np.ndarray]:
     """For each family one bit for each anchor, set if it is the home of a fingerprint."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(f.size, bool) for f in families]
-        for batch in batches:
-            values = batch.column("print").to_numpy().view(np.uint64)
-            for f, own in zip(families, held, strict=True):
-                own[f.places(f.home(values))] = True
-        for number, own in enumerate(held):
+        values = np.concatenate([np.zeros(0, np.int64), *(batch.column("print").to_numpy() for batch in batches)]).view(np.uint64)
+        for number, f in enumerate(families):  # one after the other, as each has a byte for every anchor
+            own = np.zeros(f.size, bool)
+            own[f.places(f.home(values))] = True
             rows = own.reshape(-1, min(SEGMENT, len(own)))
             at = np.flatnonzero(rows.any(axis=1))
             packed = [np.packbits(rows[i]).tobytes() for i in at]
@@ -309,8 +307,8 @@ def fingerprint_links(prints: DataFrame, most: int = LINK, part: int = 1 << 16,
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                values = batch.column("print").slice(at, 1024).to_numpy().view(np.uint64)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                values = batch.column("print").slice(at, AT_ONCE).to_numpy().view(np.uint64)
                 for family, bits in zip(families, known, strict=True):
                     rows, keys = family.copies(values)
                     home = np.diff(rows, prepend=-1) > 0
