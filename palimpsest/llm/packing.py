@@ -28,7 +28,7 @@ from palimpsest.llm._common import binary_text, materialize, numbered, slices_by
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)").fullmatch
 #: white space for Python but not for the tokenizer
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
-MOST_CACHED = 500_000
+MOST_CACHED = 400_000
 
 
 class WordIds(dict):
