@@ -131,12 +131,15 @@ class Engine:
     def _record(self, head: str | None, base: DataFrame, current: DataFrame, changes: DataFrame, created_at_ms: int | None, batch: tuple[str, int] | None = None) -> dict:
         """Store what changes, the nodes and the commit, and move the active ref."""
         store = self.store
+        same = head is not None and not changes.take(1)  # then the snapshot is the head's, and all of it is stored
         with self._phase("payloads"):
-            report = staging.change_report(changes, store.table("blobs")).first().asDict()
-            changed = current.join(changes.where("hash is not null").select(*KEY), list(KEY), "left_semi")
-            store.append("blobs", staging.new_blobs(changed, store.table("blobs")))
+            report = {"chunks": 0, "new_blobs": 0, "tombstones": 0}
+            if not same:
+                report = staging.change_report(changes, store.table("blobs")).first().asDict()
+                changed = current.join(changes.where("hash is not null").select(*KEY), list(KEY), "left_semi")
+                store.append("blobs", staging.new_blobs(changed, store.table("blobs")))
         with self._phase("tree"):
-            root = self._write_tree(head, base, changes)
+            root = store.root_of(head) if same else self._write_tree(head, base, changes)
         with self._phase("record"):
             created = now_ms() if created_at_ms is None else created_at_ms
             new = store.record([head] if head else [], created, root)
